@@ -13,6 +13,7 @@ hash, doc_id, start and checksum, so that reruns agree.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,13 @@ from touchline.llm.common import checkpointed, read
 
 WINDOW, GRID, RANGES = 4096, 16, 512
 #: A worker forgets its words beyond so many: memory stays bounded, results do not change.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
+#: Words that need no normaliser but lower case: Latin letters, then plain punctuation, which is one pre-token.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+
+#: Byte-level models spell bytes as characters: those that can't be seen, in order, as the characters from 256 on.
+UNSEEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+VISIBLE = {b: 256 + i for i, b in enumerate(UNSEEN)}
 
 
 class WordEncoder:
@@ -39,18 +46,42 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _encoded(self, tokenizer, words: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(words), 4096):
+            for e in tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False):
+                yield struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of one lower-case word of letters, by the tokenizer's model alone."""
+        seen = word if word.isascii() else word.encode().decode("latin-1").translate(VISIBLE)
+        ids = [t.id for t in self.tokenizer.model.tokenize(seen)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, new: list[bytes]) -> None:
+        words = [w.decode("utf-8", "replace") for w in new]
+        matches = [PLAIN.fullmatch(w) for w in words]
+        heads = [m[1].lower() if m else "" for m in matches]
+        fresh = list(set(heads).difference(self.parts, [""]))
+        self.parts.update(zip(fresh, map(self._letters, fresh), strict=True))
+        tails = list({m[2] for m in matches if m}.difference(self.parts))
+        self.parts.update(zip(tails, self._encoded(self.tokenizer, tails), strict=True))
+        odd = [i for i, m in enumerate(matches) if not m]
+        self.known.update(zip([new[i] for i in odd], self._encoded(self.tokenizer, [words[i] for i in odd]), strict=True))
+        self.known.update((new[i], self.parts[heads[i]] + self.parts[m[2]]) for i, m in enumerate(matches) if m)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list(set().union(*words).difference(self.known)) if words else []
+        new = set().union(*words).difference(self.known)
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known = {}
-            new = list(set().union(*words))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(some, coded, strict=True))
+            new = set().union(*words)
+        if len(self.parts) > CACHED_WORDS:
+            self.parts = {}
+        self._learn(list(new))
         known = self.known.__getitem__
         return [b"".join(map(known, w)) for w in words]
 
