@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("instrument").orderBy("bar_idx")
+def order() -> WindowSpec:
+    return Window.partitionBy("instrument").orderBy("bar_idx")
 
 
 def last(n: int) -> WindowSpec:
-    return ORDER.rowsBetween(-(n - 1), 0)
+    return order().rowsBetween(-(n - 1), 0)
 
 
 def rolling(value: Column, n: int, least: int | None = None) -> Column:
@@ -18,11 +19,11 @@ def rolling(value: Column, n: int, least: int | None = None) -> Column:
 
 
 def back_fill(value: Column) -> Column:
-    return F.first(value, ignorenulls=True).over(ORDER.rowsBetween(0, Window.unboundedFollowing))
+    return F.first(value, ignorenulls=True).over(order().rowsBetween(0, Window.unboundedFollowing))
 
 
 def forward_fill(value: Column) -> Column:
-    return F.last(value, ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(value, ignorenulls=True).over(order().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def safe_divide(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline import config
 from touchline.functions import folds
-from touchline.functions.frames import ORDER, back_fill, forward_fill, last, rolling
+from touchline.functions.frames import back_fill, forward_fill, last, order, rolling
 
 C = F.col
 
@@ -26,7 +26,7 @@ def bands(period: int = config.BB_PERIOD, width: float = config.BB_WIDTH) -> tup
 
 
 def roc(period: int = config.ROC_PERIOD) -> Column:
-    before = F.lag("close", period).over(ORDER)
+    before = F.lag("close", period).over(order())
     return F.try_divide(C("close") - before, before) * 100
 
 
@@ -40,7 +40,7 @@ def cci(period: int = config.CCI_PERIOD) -> Column:
 
 
 def true_range() -> Column:
-    before = F.lag("close").over(ORDER)
+    before = F.lag("close").over(order())
     return F.greatest(C("high") - C("low"), F.abs(C("high") - before), F.abs(C("low") - before))
 
 
@@ -82,12 +82,12 @@ def atr_bands(atr: str = "ATR_14", live: bool = False) -> dict[str, Column]:
 
 def patterns() -> dict[str, Column]:
     """Candle patterns as -100, 0 or 100, from bodies, shadows and trailing means of both."""
-    at = lambda c, k=0: C(c) if k == 0 else F.lag(c, k).over(ORDER)
+    at = lambda c, k=0: C(c) if k == 0 else F.lag(c, k).over(order())
     body = lambda k=0: F.abs(at("close", k) - at("open", k))
     size = lambda k=0: at("high", k) - at("low", k)
     up = lambda k=0: at("close", k) > at("open", k)
     down = lambda k=0: at("close", k) < at("open", k)
-    before = ORDER.rowsBetween(-10, -1)
+    before = order().rowsBetween(-10, -1)
     usual = F.avg(F.abs(C("close") - C("open"))).over(before)
     span = F.avg(C("high") - C("low")).over(before)
     upper, lower = C("high") - F.greatest("open", "close"), F.least("open", "close") - C("low")
@@ -136,7 +136,7 @@ def zigzag(candles: DataFrame, atr: str = "ATR_14", multiple: float = config.SWI
 
 def fractals(candles: DataFrame, wing: int = 10) -> DataFrame:
     """``support`` and ``resistance`` as the last bar that was the extreme of ``wing`` bars to both sides."""
-    window = ORDER.rowsBetween(-wing, wing)
+    window = order().rowsBetween(-wing, wing)
     whole = F.count("*").over(window) == 2 * wing + 1
     low, high = F.when(whole & (C("low") == F.min("low").over(window)), C("low")), F.when(whole & (C("high") == F.max("high").over(window)), C("high"))
     marked = candles.withColumn("__low", low).withColumn("__high", high)
