@@ -31,11 +31,11 @@ C = F.col
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-WALK = """walk AS (SELECT event_type AS instrument, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rank,
+WALK = """walk AS MATERIALIZED (SELECT event_type AS instrument, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rank,
   1000.0::DOUBLE + 0.01::DOUBLE * (sum(CAST(value AS DECIMAL(18,2)) - 50) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::DOUBLE AS price FROM events)"""
-BASE = f"""{WALK}, raw AS (SELECT instrument, floor(epoch(ts) / 3600)::BIGINT * 3600 AS t, arg_min(price, rank) AS open, max(price) AS high, min(price) AS low,
+BASE = f"""{WALK}, raw AS MATERIALIZED (SELECT instrument, floor(epoch(ts) / 3600)::BIGINT * 3600 AS t, arg_min(price, rank) AS open, max(price) AS high, min(price) AS low,
   arg_max(price, rank) AS close, count(*)::DOUBLE AS volume FROM walk GROUP BY ALL),
-candles AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY t) - 1 AS bar_idx FROM raw)"""
+candles AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY t) - 1 AS bar_idx FROM raw)"""
 W = "PARTITION BY instrument ORDER BY bar_idx"
 
 
@@ -45,19 +45,17 @@ def mean(x: str, n: int, least: int | None = None) -> str:
 
 
 #: A plain mean range stands for the ATR, and the mean body share for the ADX, where an operator takes them as given.
-GIVEN = f"""{BASE}, given AS (SELECT *, {mean('high - low', 14)} AS atr, 100 * {mean('abs(close - open)', 14)} / nullif({mean('high - low', 14)}, 0) AS adx,
+GIVEN = f"""{BASE}, given AS MATERIALIZED (SELECT *, {mean('high - low', 14)} AS atr, 100 * {mean('abs(close - open)', 14)} / nullif({mean('high - low', 14)}, 0) AS adx,
   {mean('close', 20)} AS sma, {mean('close', 50)} AS slow FROM candles)"""
 STOPS, TAKES, BARS = [0.0005, 0.001, 0.002], [0.0005, 0.001, 0.002, 0.004], 24
 TRADES = f"""{GIVEN}, ends AS (SELECT instrument, max(bar_idx) AS last FROM candles GROUP BY 1),
 entries AS (SELECT g.* FROM given g JOIN ends USING (instrument) WHERE bar_idx <= last - {BARS}),
 sls AS (SELECT unnest({STOPS})::DOUBLE AS sl_ratio), tps AS (SELECT unnest({TAKES})::DOUBLE AS tp_ratio), sides AS (SELECT unnest(['buy', 'sell']) AS trade_type),
-slhit AS (SELECT e.instrument, e.bar_idx, trade_type, sl_ratio, min(c.bar_idx) AS j FROM entries e CROSS JOIN sls CROSS JOIN sides JOIN candles c
-  ON c.instrument = e.instrument AND c.bar_idx > e.bar_idx AND c.bar_idx <= e.bar_idx + {BARS}
-  AND CASE WHEN trade_type = 'buy' THEN c.low <= e.close * (1 - sl_ratio) ELSE c.high >= e.close * (1 + sl_ratio) END GROUP BY ALL),
-tphit AS (SELECT e.instrument, e.bar_idx, trade_type, tp_ratio, min(c.bar_idx) AS j FROM entries e CROSS JOIN tps CROSS JOIN sides JOIN candles c
-  ON c.instrument = e.instrument AND c.bar_idx > e.bar_idx AND c.bar_idx <= e.bar_idx + {BARS}
-  AND CASE WHEN trade_type = 'buy' THEN c.high >= e.close * (1 + tp_ratio) ELSE c.low <= e.close * (1 - tp_ratio) END GROUP BY ALL),
-trades AS (SELECT e.instrument, e.t, e.bar_idx AS entry_idx, sides.trade_type, e.close AS entry_price,
+slhit AS MATERIALIZED (SELECT e.instrument, e.bar_idx, trade_type, sl_ratio, min(c.bar_idx) AS j FROM entries e CROSS JOIN sls CROSS JOIN sides CROSS JOIN (SELECT unnest(range(1, {BARS + 1})) AS k) JOIN candles c
+  ON c.instrument = e.instrument AND c.bar_idx = e.bar_idx + k WHERE CASE WHEN trade_type = 'buy' THEN c.low <= e.close * (1 - sl_ratio) ELSE c.high >= e.close * (1 + sl_ratio) END GROUP BY ALL),
+tphit AS MATERIALIZED (SELECT e.instrument, e.bar_idx, trade_type, tp_ratio, min(c.bar_idx) AS j FROM entries e CROSS JOIN tps CROSS JOIN sides CROSS JOIN (SELECT unnest(range(1, {BARS + 1})) AS k) JOIN candles c
+  ON c.instrument = e.instrument AND c.bar_idx = e.bar_idx + k WHERE CASE WHEN trade_type = 'buy' THEN c.high >= e.close * (1 + tp_ratio) ELSE c.low <= e.close * (1 - tp_ratio) END GROUP BY ALL),
+trades AS MATERIALIZED (SELECT e.instrument, e.t, e.bar_idx AS entry_idx, sides.trade_type, e.close AS entry_price,
   e.close * (1 + CASE WHEN sides.trade_type = 'buy' THEN -1 ELSE 1 END * sls.sl_ratio) AS sl_price, e.close * (1 + CASE WHEN sides.trade_type = 'buy' THEN 1 ELSE -1 END * tps.tp_ratio) AS tp_price,
   sls.sl_ratio, tps.tp_ratio, CASE WHEN b.j IS NOT NULL AND (a.j IS NULL OR b.j < a.j) THEN b.j ELSE a.j END AS exit_idx,
   CASE WHEN b.j IS NOT NULL AND (a.j IS NULL OR b.j < a.j) THEN 'win' ELSE 'loss' END AS outcome
@@ -256,10 +254,10 @@ def _presets(spark, sf):
     return spark.createDataFrame([(k, 2 * len(g.ratios(g.stops)) * len(g.ratios(g.takes)), g.bars) for k, g in config.GRIDS.items()], "timeframe long, outcomes long, bars long")
 
 
-@query("barrier_price", sql(f"SELECT instrument, t, ratio, round(close * (1 + ratio), 6) AS above, round(close * (1 - ratio), 6) AS below FROM candles, (SELECT unnest({STOPS})::DOUBLE AS ratio)"))
+@query("barrier_price", sql(f"SELECT instrument, t, ratio, round(close * (1 + ratio), 8) AS above, round(close * (1 - ratio), 8) AS below FROM candles, (SELECT unnest({STOPS})::DOUBLE AS ratio)"))
 def _barrier(spark, sf):
     ratios = F.explode(F.array(*map(F.lit, STOPS)))
-    return out(candles(spark, sf).withColumn("ratio", ratios), "ratio", r(S.barrier(C("close"), C("ratio"), F.lit(1))).alias("above"), r(S.barrier(C("close"), C("ratio"), F.lit(-1))).alias("below"))
+    return out(candles(spark, sf).withColumn("ratio", ratios), "ratio", r(S.barrier(C("close"), C("ratio"), F.lit(1)), 8).alias("above"), r(S.barrier(C("close"), C("ratio"), F.lit(-1)), 8).alias("below"))
 
 
 @query("entry_window", sql(f"SELECT instrument, t, bar_idx FROM candles JOIN (SELECT instrument, max(bar_idx) AS last FROM candles GROUP BY 1) USING (instrument) WHERE bar_idx <= last - {BARS}"))
@@ -268,11 +266,11 @@ def _entry_window(spark, sf):
     return out(S.full_window(c, c, BARS), "bar_idx")
 
 
-TRADE_COLUMNS = "instrument, t, entry_idx, trade_type, round(entry_price, 6) AS entry_price, round(sl_price, 6) AS sl_price, round(tp_price, 6) AS tp_price, sl_ratio, tp_ratio, exit_idx, outcome"
+TRADE_COLUMNS = "instrument, t, entry_idx, trade_type, round(entry_price, 8) AS entry_price, round(sl_price, 8) AS sl_price, round(tp_price, 8) AS tp_price, sl_ratio, tp_ratio, exit_idx, outcome"
 
 
 def trade_rows(df: DataFrame) -> DataFrame:
-    return df.select("instrument", t("entry_time"), "entry_idx", "trade_type", *(r(c).alias(c) for c in ("entry_price", "sl_price", "tp_price")), "sl_ratio", "tp_ratio", C("exit_idx").cast("long").alias("exit_idx"), "outcome")
+    return df.select("instrument", t("entry_time"), "entry_idx", "trade_type", *(r(c, 8).alias(c) for c in ("entry_price", "sl_price", "tp_price")), "sl_ratio", "tp_ratio", C("exit_idx").cast("long").alias("exit_idx"), "outcome")
 
 
 @query("first_touch", sql(f"SELECT {TRADE_COLUMNS} FROM trades", TRADES))
@@ -319,9 +317,9 @@ def _stats(spark, sf):
 # ---- Indicators -------------------------------------------------------------------------------------------------------
 
 
-@query("sma", sql("SELECT instrument, t, " + ", ".join(f"round({mean('close', p)}, 6) AS sma_{p}" for p in config.SMA_PERIODS) + " FROM candles"))
+@query("sma", sql("SELECT instrument, t, " + ", ".join(f"round({mean('close', p)}, 8) AS sma_{p}" for p in config.SMA_PERIODS) + " FROM candles"))
 def _sma(spark, sf):
-    return out(candles(spark, sf), *(r(I.sma(p)).alias(f"sma_{p}") for p in config.SMA_PERIODS))
+    return out(candles(spark, sf), *(r(I.sma(p), 8).alias(f"sma_{p}") for p in config.SMA_PERIODS))
 
 
 EMA = f"""{BASE}, ema AS (SELECT instrument, t, bar_idx, {', '.join(f'close AS e{p}' for p in config.EMA_PERIODS)} FROM candles WHERE bar_idx = 0
@@ -516,7 +514,7 @@ def _features(spark, sf):
 
 # ---- Enrichment and gold ------------------------------------------------------------------------------------------------
 
-ENRICHED = f"""{TRADES}, enriched AS (SELECT r.*, g.atr, g.sma, g.slow, {', '.join(
+ENRICHED = f"""{TRADES}, enriched AS MATERIALIZED (SELECT r.*, g.atr, g.sma, g.slow, {', '.join(
     f"({k}_price - g.{x}) / CASE WHEN g.atr = 0 THEN 1e-5 ELSE g.atr END AS {k}_dist_to_{x}_atr, CASE WHEN abs(g.{x} - entry_price) < 1e-9 THEN 0 ELSE coalesce(({k}_price - entry_price) / (g.{x} - entry_price), 0) END AS {k}_place_pct_to_{x}, ({k}_price - g.{x}) / entry_price * 1e4 AS {k}_dist_to_{x}_bps"
     for x in ('sma', 'slow') for k in ('sl', 'tp'))} FROM trades r JOIN given g ON g.instrument = r.instrument AND g.bar_idx = r.entry_idx WHERE g.slow IS NOT NULL)"""
 
@@ -643,7 +641,7 @@ def kind_sql(own: str, kind: str, level: str) -> str:
 
 #: Placements by tenths of the way are compared for the far level only where no bin edge is near (see ``vector_scale``).
 PLACED = ENRICHED + ", placed AS (" + " UNION ALL ".join(kind_sql(o, "BPS", x) for x in ("sma", "slow") for o in ("sl", "tp")) + """),
-counts AS (SELECT instrument, type, sl_def, sl_bin, tp_def, tp_bin, trade_type, t, count(*) AS trade_count,
+counts AS MATERIALIZED (SELECT instrument, type, sl_def, sl_bin, tp_def, tp_bin, trade_type, t, count(*) AS trade_count,
   substr(sha256(concat_ws('-', type, sl_def, printf('%.5f', sl_bin), tp_def, printf('%.5f', tp_bin), trade_type)), 1, 16) AS key FROM placed GROUP BY instrument, type, sl_def, sl_bin, tp_def, tp_bin, trade_type, t),
 catalogue AS (SELECT instrument, key, type, sl_def, sl_bin, tp_def, tp_bin, trade_type, count(DISTINCT t) AS num_candles FROM counts GROUP BY ALL HAVING count(DISTINCT t) >= 20)"""
 
@@ -719,7 +717,7 @@ def _exclusions(spark, sf):
 RULES = ["`sma` > 999.5 and `volume` > 2", "`adx` <= 40 and `close` > 1000.5", "`slow` <= 1000.25"]
 RULES_SQL = [x.replace("`", '"') for x in RULES]
 HEAT = "(instrument, bar_idx, trade_count)"
-DENSITY = f"{TRADES}, dense AS (SELECT g.*, coalesce(n, 0)::BIGINT AS trade_count FROM given g LEFT JOIN (SELECT instrument, entry_idx AS bar_idx, count(*) AS n FROM trades WHERE outcome = 'win' GROUP BY ALL) USING (instrument, bar_idx))"
+DENSITY = f"{TRADES}, dense AS MATERIALIZED (SELECT g.*, coalesce(n, 0)::BIGINT AS trade_count FROM given g LEFT JOIN (SELECT instrument, entry_idx AS bar_idx, count(*) AS n FROM trades WHERE outcome = 'win' GROUP BY ALL) USING (instrument, bar_idx))"
 
 
 def dense(spark, sf):
@@ -756,10 +754,10 @@ def _lift(spark, sf):
 RAW_RULES = ["`a` > 1.5 and `a` > 2.0 and `b` <= 3.0", "`b` <= 3.0 and `b` <= 1.0E-5", "", "`x y` > -0.5 and `x y` <= 0.5 and `x y` > -2.0"]
 RULE_PARTS = """src AS (SELECT unnest(range(4)) AS id, unnest([{0}]) AS rule), parts AS (SELECT id, unnest(regexp_extract_all(rule, '`[^`]+`\\s*(?:<=|>)\\s*-?[0-9.]+(?:[eE][-+]?[0-9]+)?')) AS c FROM src),
 bounds AS (SELECT id, regexp_extract(c, '`([^`]+)`', 1) AS f, regexp_extract(c, '(<=|>)', 1) AS s, regexp_extract(c, '(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)$', 1)::DOUBLE AS v FROM parts),
-tight AS (SELECT id, f, s, CASE WHEN s = '<=' THEN min(v) ELSE max(v) END AS v FROM bounds GROUP BY ALL)""".replace("{0}", ", ".join(f"'{x}'" for x in RAW_RULES))
+tight AS (SELECT id, f, s, CASE WHEN s = '<=' THEN min(v) ELSE max(v) END AS v FROM bounds GROUP BY id, f, s)""".replace("{0}", ", ".join(f"'{x}'" for x in RAW_RULES))
 
 
-@query("rule_simplify", f"WITH {RULE_PARTS} SELECT rule AS raw, coalesce((SELECT count(*) FROM tight WHERE tight.id = src.id), 0) AS bounds, round(coalesce((SELECT sum(v) FROM tight WHERE tight.id = src.id), 0), 6) AS total FROM src")
+@query("rule_simplify", f"WITH {RULE_PARTS} SELECT any_value(rule) AS raw, count(v) AS bounds, round(coalesce(sum(v), 0), 6) AS total FROM src LEFT JOIN tight ON tight.id = src.id GROUP BY src.id")
 def _simplify(spark, sf):
     rules = spark.createDataFrame([(x, x) for x in RAW_RULES], "raw string, market_rule string")
     bounds = F.expr(r"regexp_extract_all(market_rule, '(?:<=|>) (-?[0-9.]+(?:[eE][-+]?[0-9]+)?)', 1)")
@@ -825,7 +823,7 @@ def _metrics(spark, sf):
 
 # ---- Triggers, backtest, reports ------------------------------------------------------------------------------------------------
 
-HOLDS = f"{GIVEN}, hits AS (" + " UNION ALL ".join(f"SELECT instrument, t, bar_idx, 's{i}' AS trigger_key FROM given WHERE {x}" for i, x in enumerate(RULES_SQL)) + ")"
+HOLDS = f"{GIVEN}, hits AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT instrument, t, bar_idx, 's{i}' AS trigger_key FROM given WHERE {x}" for i, x in enumerate(RULES_SQL)) + ")"
 
 
 def triggers(spark, sf):
@@ -867,15 +865,14 @@ def price_sql(kind: str, way: str) -> str:
 SIGN = "(CASE WHEN trade_type = 'buy' THEN 1 ELSE -1 END)"
 LOG = f"""{HOLDS}, {PLAN_SQL}, priced AS (SELECT p.*, g.instrument, g.t, g.bar_idx AS entry_idx, g.close AS entry_price, g.atr, g.adx, {price_sql('sl', '-' + SIGN)} AS sl_price, {price_sql('tp', SIGN)} AS tp_price
   FROM hits h JOIN given g ON g.instrument = h.instrument AND g.bar_idx = h.bar_idx JOIN plans p USING (trigger_key)),
-ready AS (SELECT * FROM priced WHERE sl_price IS NOT NULL AND tp_price IS NOT NULL), ends AS (SELECT instrument, max(bar_idx) AS last FROM candles GROUP BY 1),
-touch AS (SELECT r.trigger_key, r.instrument, r.entry_idx, min(c.bar_idx) AS j FROM ready r JOIN candles c ON c.instrument = r.instrument AND c.bar_idx > r.entry_idx AND c.bar_idx <= r.entry_idx + 40
-  AND CASE WHEN trade_type = 'buy' THEN c.high >= tp_price OR c.low <= sl_price ELSE c.low <= tp_price OR c.high >= sl_price END GROUP BY ALL),
+ready AS MATERIALIZED (SELECT * FROM priced WHERE sl_price IS NOT NULL AND tp_price IS NOT NULL), ends AS (SELECT instrument, max(bar_idx) AS last FROM candles GROUP BY 1),
+touch AS MATERIALIZED (SELECT r.trigger_key, r.instrument, r.entry_idx, min(c.bar_idx) AS j FROM ready r CROSS JOIN (SELECT unnest(range(1, 41)) AS k) JOIN candles c ON c.instrument = r.instrument AND c.bar_idx = r.entry_idx + k WHERE CASE WHEN trade_type = 'buy' THEN c.high >= tp_price OR c.low <= sl_price ELSE c.low <= tp_price OR c.high >= sl_price END GROUP BY ALL),
 done AS (SELECT r.*, e.last, t.j, CASE WHEN t.j IS NULL THEN 'expired' WHEN CASE WHEN trade_type = 'buy' THEN c.high >= tp_price ELSE c.low <= tp_price END THEN 'win' ELSE 'loss' END AS outcome
   FROM ready r JOIN ends e USING (instrument) LEFT JOIN touch t ON t.trigger_key = r.trigger_key AND t.instrument = r.instrument AND t.entry_idx = r.entry_idx LEFT JOIN candles c ON c.instrument = r.instrument AND c.bar_idx = t.j),
-log AS (SELECT *, coalesce(j, least(entry_idx + 40, last)) AS exit_idx, coalesce(j, least(entry_idx + 40, last)) - entry_idx AS duration_candles,
+log AS MATERIALIZED (SELECT *, coalesce(j, least(entry_idx + 40, last)) AS exit_idx, coalesce(j, least(entry_idx + 40, last)) - entry_idx AS duration_candles,
   (CASE outcome WHEN 'win' THEN tp_price WHEN 'loss' THEN sl_price ELSE entry_price END - entry_price) * {SIGN} - 0.03::DOUBLE - (7.0::DOUBLE / 100000) * entry_price AS pnl, instrument AS market,
   CASE WHEN adx > 25 THEN 'trend' ELSE 'range' END AS trend_regime, CASE WHEN atr > 0.5 THEN 'high_vol' ELSE 'low_vol' END AS vol_regime, {SESSION_SQL} AS session FROM done),
-full_log AS (SELECT *, CASE WHEN atr > 0 THEN pnl / atr END AS pnl_atr_norm FROM log)"""
+full_log AS MATERIALIZED (SELECT *, CASE WHEN atr > 0 THEN pnl / atr END AS pnl_atr_norm FROM log)"""
 
 
 def log(spark, sf):
@@ -886,12 +883,12 @@ def log(spark, sf):
     return B.backtest(triggers(spark, sf).join(F.broadcast(plans), "trigger_key"), side, g, ["sma", "slow"], F.lit(0.01), F.lit(0.03), 40)
 
 
-@query("level_sltp", sql("SELECT trigger_key, instrument, t, round(sl_price, 5) AS sl_price, round(tp_price, 5) AS tp_price FROM ready", LOG))
+@query("level_sltp", sql("SELECT trigger_key, instrument, t, round(sl_price, 8) AS sl_price, round(tp_price, 8) AS tp_price FROM ready", LOG))
 def _level_sltp(spark, sf):
     plans = spark.createDataFrame(PLANS, "trigger_key string, type string, sl_def string, sl_bin double, tp_def string, tp_bin double, trade_type string")
     side = given(spark, sf).select("instrument", "time", C("close").alias("entry_price"), "sma", "slow")
     rows = B.barriers(triggers(spark, sf).join(F.broadcast(plans), "trigger_key").join(side, ["instrument", "time"]), ["sma", "slow"], F.lit(0.01))
-    return rows.select("trigger_key", "instrument", t(), r("sl_price", 5).alias("sl_price"), r("tp_price", 5).alias("tp_price"))
+    return rows.select("trigger_key", "instrument", t(), r("sl_price", 8).alias("sl_price"), r("tp_price", 8).alias("tp_price"))
 
 
 @query("backtest_touch", sql("SELECT trigger_key, market, entry_idx, exit_idx, outcome FROM full_log", LOG))
@@ -974,12 +971,12 @@ def _regime(spark, sf):
 
 # ---- Dashboard ----------------------------------------------------------------------------------------------------------------------
 
-SUMMARY = "summary AS (SELECT s_suppkey AS strategy_id, round(s_acctbal / 1000, 4) AS avg_profit_factor, (s_suppkey % 5) || '/' || (s_suppkey % 3 + 5) AS validation_markets_passed FROM supplier), mastery AS (SELECT s_suppkey AS strategy_id, CASE WHEN s_suppkey % 9 = 0 THEN 'inf'::DOUBLE ELSE s_acctbal / 50 END AS profit_factor, s_acctbal / 700 AS sharpe_ratio FROM supplier WHERE s_suppkey % 4 <> 1)"
+SUMMARY = "summary AS (SELECT s_suppkey AS strategy_id, s_acctbal / 1000 AS avg_profit_factor, (s_suppkey % 5) || '/' || (s_suppkey % 3 + 5) AS validation_markets_passed FROM supplier), mastery AS (SELECT s_suppkey AS strategy_id, CASE WHEN s_suppkey % 9 = 0 THEN 'inf'::DOUBLE ELSE s_acctbal / 50 END AS profit_factor, s_acctbal / 700 AS sharpe_ratio FROM supplier WHERE s_suppkey % 4 <> 1)"
 
 
 def summary(spark, sf):
     s = read(spark, sf, "supplier")
-    one = s.select(C("s_suppkey").alias("strategy_id"), r(C("s_acctbal") / 1000, 4).alias("avg_profit_factor"), F.concat((C("s_suppkey") % 5).cast("string"), F.lit("/"), (C("s_suppkey") % 3 + 5).cast("string")).alias("validation_markets_passed"))
+    one = s.select(C("s_suppkey").alias("strategy_id"), (C("s_acctbal") / 1000).alias("avg_profit_factor"), F.concat((C("s_suppkey") % 5).cast("string"), F.lit("/"), (C("s_suppkey") % 3 + 5).cast("string")).alias("validation_markets_passed"))
     two = s.where("s_suppkey % 4 != 1").select(C("s_suppkey").alias("strategy_id"), F.when(C("s_suppkey") % 9 == 0, float("inf")).otherwise(C("s_acctbal") / 50).alias("profit_factor"), (C("s_acctbal") / 700).alias("sharpe_ratio"))
     return one, two
 
