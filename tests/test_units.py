@@ -12,7 +12,7 @@ BAR = "instrument string, bar_idx long, time timestamp_ntz, open double, high do
 
 
 def bars(spark, rows):
-    plain = spark.createDataFrame([("X", i, *r) for i, r in enumerate(rows)], "instrument string, bar_idx long, open double, high double, low double, close double")
+    plain = spark.createDataFrame([("X", i, *map(float, r)) for i, r in enumerate(rows)], "instrument string, bar_idx long, open double, high double, low double, close double")
     return plain.withColumn("time", F.expr("timestampadd(HOUR, CAST(bar_idx AS INT), TIMESTAMP_NTZ '2024-01-01 00:00:00')"))
 
 
