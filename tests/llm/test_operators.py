@@ -50,6 +50,14 @@ def test_suffixes_against_brute_force(spark, length, gram, crowd):
     assert [(r[0], r[1], r[2], bytes(r[3])) for r in got] == list(brute_repeats(texts, length))
 
 
+def test_cut_characters_go(spark):
+    common_ = "x" * 500
+    # The repeat starts with the last byte of one character and ends with the first of another, which both texts share.
+    docs = spark.createDataFrame([(1, "aé" + common_ + "éb", "fr", "s", 505), (2, "cĩ" + common_ + "èd", "fr", "s", 505), (3, None, None, None, None)], DOC)
+    got = {r.doc_id: (r.text, r.n_chars) for r in suffixes.without_repeats(docs).collect()}
+    assert got == {1: ("ab", 2), 2: ("cd", 2), 3: (None, None)}
+
+
 def brute_simhash(text):
     words = text.encode().lower().split()
     grams = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []

@@ -36,54 +36,54 @@ UNSEEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
 VISIBLE = {b: 256 + i for i, b in enumerate(UNSEEN)}
 
 
-class WordEncoder:
-    """Token ids of a text as packed little-endian 32-bit numbers.
+class WordEncoder(dict):
+    """Token ids of UTF-8 words as packed little-endian 32-bit numbers, encoded on first use and remembered.
 
     The tokenizer's pre-tokens never hold ASCII white space, so that a text's ids are those of its white-space separated
-    words, one after the other; words are encoded once and remembered.
+    words, one after the other. A plain word is encoded by the tokenizer's model alone, any other by the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encoded(self, tokenizer, words: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(words), 4096):
-            for e in tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False):
-                yield struct.pack(f"<{len(e.ids)}I", *e.ids)
-
-    def _letters(self, word: str) -> bytes:
-        """Ids of one lower-case word of letters, by the tokenizer's model alone."""
-        seen = word if word.isascii() else word.encode().decode("latin-1").translate(VISIBLE)
-        ids = [t.id for t in self.tokenizer.model.tokenize(seen)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, new: list[bytes]) -> None:
-        words = [w.decode("utf-8", "replace") for w in new]
-        matches = [PLAIN.fullmatch(w) for w in words]
-        heads = [m[1].lower() if m else "" for m in matches]
-        fresh = list(set(heads).difference(self.parts, [""]))
-        self.parts.update(zip(fresh, map(self._letters, fresh), strict=True))
-        tails = list({m[2] for m in matches if m}.difference(self.parts))
-        self.parts.update(zip(tails, self._encoded(self.tokenizer, tails), strict=True))
-        odd = [i for i, m in enumerate(matches) if not m]
-        self.known.update(zip([new[i] for i in odd], self._encoded(self.tokenizer, [words[i] for i in odd]), strict=True))
-        self.known.update((new[i], self.parts[heads[i]] + self.parts[m[2]]) for i, m in enumerate(matches) if m)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = set().union(*words)
-        if len(self.parts) > CACHED_WORDS:
-            self.parts = {}
-        self._learn(list(new))
-        known = self.known.__getitem__
-        return [b"".join(map(known, w)) for w in words]
+        self.tokenize, self.parts = self.tokenizer.model.tokenize, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if plain := PLAIN.fullmatch(text):
+            head = plain[1].lower()
+            ids = self.parts.get(head)
+            if ids is None:
+                seen = head if head.isascii() else head.encode().decode("latin-1").translate(VISIBLE)
+                self.parts[head] = ids = packed_ids([t.id for t in self.tokenize(seen)])
+            if plain[2]:
+                tail = self.parts.get(plain[2])
+                if tail is None:
+                    self.parts[plain[2]] = tail = self.whole(plain[2])
+                ids += tail
+        else:
+            ids = self.whole(text)
+        self[word] = ids
+        return ids
+
+    def whole(self, text: str) -> bytes:
+        return packed_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        out = []
+        for text in texts:
+            out.append(b"".join(map(self.__getitem__, text.split())))
+            if len(self) > CACHED_WORDS:
+                self.clear()
+            if len(self.parts) > CACHED_WORDS:
+                self.parts.clear()
+        return out
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end: int = 2, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                 part = batch.slice(at, 500)
                 rows: list[list] = [[] for _ in names]
                 where: list[int] = []
-                for k, ids in enumerate(encoder.encode([x or "" for x in part.column(1).to_pylist()])):
+                for k, ids in enumerate(encoder.encode(part.column(1).cast(pa.binary()).fill_null(b"").to_pylist())):
                     ids += last
                     for s in range(0, len(ids), 4 * window):
                         piece = ids[s : s + 4 * window]
@@ -133,17 +133,18 @@ def combinations(classes: int, present: np.ndarray) -> list[tuple[int, ...]]:
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
     """min |ax - b| with x >= 0, by Lawson and Hanson's active sets."""
     x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    gram, right = a.T @ a, a.T @ b
+    least = 1e-7 * max(1.0, np.abs(a.T @ b).max())
     for _ in range(rounds):
-        gain = right - gram @ x
+        gain = a.T @ (b - a @ x)
         gain[passive] = -np.inf
         k = int(np.argmax(gain))
-        if gain[k] <= 1e-7 * max(1.0, np.abs(right).max()):
+        if gain[k] <= least:
             break
         passive[k] = True
         while True:
             on = np.flatnonzero(passive)
-            s = np.linalg.lstsq(gram[np.ix_(on, on)], right[on], rcond=None)[0]
+            some = a[:, on]
+            s = np.linalg.solve(some.T @ some + 1e-12 * np.eye(len(on)), some.T @ b)
             if (s > 0).all():
                 x[:] = 0
                 x[on] = s

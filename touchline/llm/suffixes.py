@@ -17,8 +17,8 @@ document included. The work is split so that no task needs the whole collection:
    few bytes before it too.
 
 An anchor with more than ``group_rows`` places (a passage that a third of all documents share) is not gathered in one
-task: each of its windows becomes a short document of its own, equal ones are counted before the shuffle, and only distinct
-windows travel.
+task: its windows are dealt into pieces of a few neighbours, equal pieces are counted before the shuffle, and distinct ones are
+compared window by window, by digest.
 
 Nulls: a null text is an empty text. Texts shorter than ``length`` lose nothing. Repeated rows are copies of each other.
 The scratch files have no name, belong to one task, and go with it: a lost executor costs a rerun of its tasks.
@@ -40,6 +40,8 @@ from touchline.llm.common import checkpointed, read
 LENGTH, GRAM = 400, 64
 #: Places of one gram that a task takes as they are; short documents in one collection; window starts handled at a time.
 GROUP_ROWS, COLLECTION, CHUNK = 20_000, 20_000, 1 << 19
+#: Neighbouring windows that travel together where a gram is crowded.
+PIECE = 16
 
 
 def anchors_of(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -294,7 +296,7 @@ def repeats(rows: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int =
     names = ["gram", "sub", "key", "at", "first", "segment"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The stretch of each place, or for crowded grams its windows one by one; the key is left out where rows are counted."""
+        """The stretch of each place, or for crowded grams its pieces, with a digest."""
         rows: list[tuple] = []
         size = 0
         for batch in batches:
@@ -303,7 +305,13 @@ def repeats(rows: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int =
                     if p["n"] <= group_rows:
                         pieces = [(p["first"], raw[p["first"] : p["last"] + length], b"")]
                     else:
-                        pieces = [(s, w := raw[s : s + length], hashlib.blake2b(w, digest_size=16).digest()) for s in range(p["first"], p["last"] + 1)]
+                        pieces = []
+                        s = p["first"]
+                        while s <= p["last"]:  # cut at multiples from the anchor, so that equal places are cut alike
+                            e = min(p["last"], p["at"] + ((s - p["at"]) // PIECE + 1) * PIECE - 1)
+                            w = raw[s : e + length]
+                            pieces.append((s, w, hashlib.blake2b(w, digest_size=16).digest()))
+                            s = e + 1
                     for s, piece, sub in pieces:
                         rows.append((p["gram"], sub, key, p["at"], s, piece))
                         size += len(piece) + 100
@@ -358,12 +366,20 @@ def repeats(rows: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int =
 
     solved = segments(places.where(F.col("n") <= group_rows)).drop("sub").repartition("gram").sortWithinPartitions("gram")
     found = solved.mapInArrow(solve, "key binary, start long, stop long")
+    found = found.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     if crowds:
-        # Places are counted by their window's content before the shuffle, and no text travels.
-        crowded = segments(places.where(F.col("n") > group_rows)).select("gram", "sub", "key", F.col("first").alias("start"))
-        again = crowded.groupBy("gram", "sub").agg(F.count("*").alias("many")).where("many > 1")
-        found = found.unionByName(crowded.join(again, ["gram", "sub"]).select("key", "start", F.col("start").alias("stop")))
-    return found.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+        # Pieces are counted by content before the shuffle; distinct ones alone are taken apart into windows.
+        crowded = segments(places.where(F.col("n") > group_rows)).select("gram", "sub", "key", "first", "segment")
+        distinct = crowded.groupBy("gram", "sub").agg(F.count("*").alias("copies"), F.first("segment").alias("segment"))
+        window = F.transform(F.sequence(F.lit(1), F.length("segment") - length + 1), lambda i: F.md5(F.substring("segment", i, F.lit(length))))
+        windows = distinct.select("gram", "sub", "copies", F.posexplode(window).alias("pos", "window"))
+        many = windows.groupBy("gram", "window").agg(F.sum("copies").alias("many")).where("many > 1").drop("many")
+        marked = windows.join(many, ["gram", "window"]).groupBy("gram", "sub").agg(F.collect_list("pos").alias("marks"))
+        runs = F.transform("marks", lambda p: F.struct((F.col("first") + p).alias("start"), (F.col("first") + p).alias("stop")))
+        single = crowded.select("gram", "sub", "key", "first").join(marked, ["gram", "sub"]).select("key", runs.alias("runs"))
+        single = single.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        found = found.unionByName(single).groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return found
 
 
 def spans(runs: list, length: int) -> list[tuple[int, int]]:
@@ -377,8 +393,11 @@ def spans(runs: list, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``docs`` with ``n_bytes``, ``spans`` (removed byte ranges, half open) and ``kept`` (the remaining bytes) in place of the text."""
+def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS, made: dict[str, Column] | None = None) -> DataFrame:
+    """``docs`` with ``n_bytes``, ``spans`` (removed byte ranges, half open) and ``kept`` (the remaining bytes) in place of the text.
+
+    ``made``: columns over these three to return instead of them; made once for each distinct text, before rows are joined.
+    """
     if gram & (gram - 1) or length < gram + 8 or length % 8:
         raise ValueError("gram must be a power of two, length a multiple of 8 and at least 8 over gram")
     rows = with_key(docs, text)
@@ -397,7 +416,10 @@ def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(r) for r in batch.column("raw").to_pylist()], pa.int64()), pa.array(cuts, span), pa.array(kept, pa.binary())], ["__key", "n_bytes", "spans", "kept"])
 
     done = texts.join(found, "key", "left").mapInArrow(apply, "__key binary, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
-    others = [c for c in docs.columns if c not in (text, "n_bytes", "spans", "kept")]
+    names = ["n_bytes", "spans", "kept"] if made is None else list(made)
+    if made is not None:
+        done = done.select("__key", *(c.alias(n) for n, c in made.items()))
+    others = [c for c in docs.columns if c != text and c not in names]
     return rows.select(*others, "__key").join(done, "__key").drop("__key")
 
 
@@ -406,8 +428,8 @@ def removed(spans_: Column) -> Column:
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = strip_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", removed(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    made = {"n_bytes": F.col("n_bytes"), "n_removed": removed(F.col("spans")), "n_spans": F.size("spans").cast("long"), "kept_sha256": F.sha2("kept", 256)}
+    return strip_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), made=made).select("doc_id", *made)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -416,10 +438,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A text that loses nothing, null included, is unchanged.
     """
     marked = docs.withColumn("__text", F.col("text"))
-    out = strip_repeats(marked, "__text").withColumn("__new", F.try_validate_utf8(F.decode("kept", "UTF-8")))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.regexp_replace("__new", "�", ""))
-    out = out.withColumn("text", text)
+    # Texts that lose nothing stay where they are; only those that lose something travel once more.
+    new = F.when(F.size("spans") > 0, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
+    out = strip_repeats(marked, "__text", made={"__new": new}).withColumn("text", F.coalesce("__new", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
-
