@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Training-data scans cut batches into blocks of about so many bytes of text, which bounds a worker's NumPy arrays.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
