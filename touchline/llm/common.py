@@ -29,6 +29,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows (of a few numbers each), else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings; null becomes the empty text."""
     return [x or "" for x in column.to_pylist()]

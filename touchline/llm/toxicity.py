@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import blocks, read, texts_of
+from touchline.llm.common import blocks, bounded, read, texts_of
 from touchline.llm.langid import remainder
 
 TOKEN = re.compile(r"\w+")
@@ -37,12 +37,10 @@ def tokens(text: str) -> list[str]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``word, toxic, clean``: how many distinct texts of each label hold the word; ``docs``: ``text, label``.
+    """``word, toxic, clean``: how many rows of each label hold the word; ``docs``: ``text, label``.
 
     Tasks count before the shuffle, in tables that are handed on when they reach a bound.
     """
-    distinct = docs.withColumn("key", F.xxhash64("text")).dropDuplicates(["key", "text", "label"]).select("text", "label")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
 
@@ -59,7 +57,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return distinct.mapInArrow(run, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return docs.select("text", "label").mapInArrow(run, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def telling_words(counts: DataFrame, toxic: int, clean: int, least: float = 3.0) -> list[tuple[str, float, float]]:
@@ -179,11 +177,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
 def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = 40) -> ToxicityModel:
     """Learns from ``docs`` (``doc_id, text, label`` 0 or 1): word counts from all rows, the chain from about ``sample`` of them."""
     rows = docs.where("label IN (0, 1)").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    keyed = rows.select(F.xxhash64("text").alias("key"), "label").distinct()
-    sizes = {r[0]: r[1] for r in keyed.groupBy("label").count().collect()}
+    # One row of each distinct text counts. Texts stay where they are: hashes and ids alone are shuffled.
+    firsts = rows.select("doc_id", F.xxhash64("text").alias("key"), "label").groupBy("key", "label").agg(F.min("doc_id").alias("doc_id"))
+    sizes = {r[0]: r[1] for r in firsts.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return ToxicityModel()
-    telling = telling_words(word_counts(rows), sizes[1], sizes[0])
+    telling = telling_words(word_counts(rows.join(bounded(firsts.select("doc_id").distinct()), "doc_id", "left_semi")), sizes[1], sizes[0])
     model = ToxicityModel({w: k for k, (w, _, _) in enumerate(telling)})
     # A word's label: chance would have to be off by six standard deviations.
     labelled = np.array([z >= 6 and share >= 0.5 for _, z, share in telling] + [False])
@@ -250,7 +249,7 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder("doc_id", 5) == 0)
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    model = fit(docs.where("not held_out").join(labels, "doc_id"))
+    model = fit(docs.where("not held_out").join(bounded(labels), "doc_id"))
     return scored(docs, model).select("doc_id", "held_out", "score", "predicted", "spans")
 
 
