@@ -2,16 +2,18 @@
 
 The pages of a host are merged into one tree of style nodes: the path of tags, classes and ids that leads to a block of text.
 A block's content importance is one minus the entropy of its appearances over the host's pages, in logarithms of their
-number: 1 for what one page alone shows, 0 for what all pages show alike. A style node's presentation importance is taken
-the same way from the share of pages that have it. Blocks of low importance that most pages of the host share are noise and
-go from each page (after Yi, Liu and Li, 2003). A host with few pages, or a branch whose content differs from page to page,
-tells nothing that way: names then decide, those of elements (nav, footer, aside, form ...) and of classes, ids and roles.
+number: 1 for what one page alone shows, 0 for what all pages show alike. A style node's presentation importance is the entropy
+of the styles of its children over the pages that have it: 0 where all pages lay it out alike. Both make up a block's importance
+(Yi, Liu and Li, 2003, whose weight of a level is ``DECAY``). Blocks of low importance that most pages of the host share are
+noise and go from each page. A host with few pages, or a branch whose content differs from page to page, tells nothing that way:
+names then decide, those of elements (nav, footer, aside, form ...) and of classes, ids and roles.
 Where a page marks its article or main part, only that counts. A page that would lose most of its text to its host's other
 pages is a copy of them rather than noise, and keeps it.
 
-Blocks with high entropy are counted once per distinct page; counts are aggregated by host, path and content before
-anything meets, so that a host with a third of all pages is no single task's work. Noise shared by over half of a host's pages
-is bounded by twice the blocks of a mean page, whatever the number of pages.
+Blocks and layouts are counted once per distinct page; counts are aggregated by host, node and content before anything meets,
+so that a host with a third of all pages is no single task's work. Noise shared by over half of a host's pages is bounded by
+twice the blocks of a mean page, whatever the number of pages. Up to a million such blocks of all hosts are broadcast, and
+pages then stay where they lie; beyond that, pages join them by host through a shuffle.
 
 Nulls: a null or empty html gives the empty text; a null url is a host of its own name (empty). Repeated rows count as one
 page. Whole pages are read.
@@ -21,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
-import math
 import re
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import read
+from touchline.llm.common import bounded, checkpointed, read
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|aria-label|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -54,6 +55,10 @@ ARTICLE_WORDS = set("article post entry content main story".split())
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 #: A block is noise if its importance is below the bound and over half of at least LEAST_PAGES distinct pages show it.
 IMPORTANCE, LEAST_PAGES = 0.5, 4
+#: Weight of content against presentation in a block's importance.
+DECAY = 0.9
+#: Noise blocks of all hosts, of a site and eight bytes each, up to which they are broadcast.
+BROADCAST_BLOCKS = 1_000_000
 
 
 class Block:
@@ -64,8 +69,12 @@ class Block:
     def __init__(self, path: str, text: str, noise: bool, article: bool, linked: float) -> None:
         self.path, self.text, self.noise, self.article, self.linked = path, text, noise, article, linked
 
-    def key(self) -> bytes:
-        return hashlib.blake2b(f"{self.path}\n{self.text}".encode("utf-8", "surrogatepass"), digest_size=12).digest()
+    def key(self) -> int:
+        return digest(f"{self.path}\n{self.text}")
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def named(tag: str, attributes: str) -> tuple[str, bool, bool]:
@@ -173,7 +182,7 @@ def candidates(blocks: list[Block]) -> list[Block]:
     return marked or [b for b in blocks if not b.noise and b.linked < 0.8]
 
 
-def main_text(page: str | None, noise: set[bytes]) -> str:
+def main_text(page: str | None, noise: set[int]) -> str:
     """The page's main text, given its host's noise."""
     blocks = candidates(parse(page or ""))
     kept = [b for b in blocks if not noise or b.key() not in noise]
@@ -186,46 +195,60 @@ def host(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def importance(shown: int, pages: int) -> float:
-    """One minus the entropy of a block's appearances in ``shown`` of ``pages`` pages, in logarithms of their number."""
-    return 1.0 if pages < 2 else 1 - math.log(shown) / math.log(pages)
+def branches(blocks: list[Block]) -> tuple[dict[int, int], dict[int, int]]:
+    """The page's part of the tree: the node of each content, and the layout of each node, which is the styles of its blocks in order."""
+    contents: dict[int, int] = {}
+    layouts: dict[int, list[str]] = {}
+    for b in blocks:
+        parent, _, style = b.path.rpartition("/")
+        node = digest(parent)
+        contents[b.key()] = node
+        layouts.setdefault(node, []).append(style)
+    return contents, {node: digest("\n".join(styles)) for node, styles in layouts.items()}
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``(site, path, content, shown, pages)``: the merged trees of all hosts, a row for each content of a style node."""
+    """The merged trees of all hosts: ``(site, node, content, layout, shown)``, with the number of distinct pages that show it.
+
+    A row tells of a content of a node, or of a layout of a node, or, where node is null as well, of the pages themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sites: list[str] = []
-            keys: list[bytes] = []
-            digests: list[bytes] = []
+            rows: list[tuple] = []
             for site, page in zip(batch.column("site").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                own = sorted({b.key() for b in candidates(parse(page or ""))})
-                digest = hashlib.blake2b(b"".join(own), digest_size=12).digest()
-                for k in (b"", *own):
-                    sites.append(site)
-                    keys.append(k)
-                    digests.append(digest)
-            yield pa.RecordBatch.from_arrays([pa.array(sites, pa.string()), pa.array(keys, pa.binary()), pa.array(digests, pa.binary())], ["site", "content", "page"])
+                contents, layouts = branches(candidates(parse(page or "")))
+                whole = digest(" ".join(map(str, sorted(contents))))
+                rows.append((site, None, None, None, whole))
+                rows += [(site, node, content, None, whole) for content, node in contents.items()]
+                rows += [(site, node, None, layout, whole) for node, layout in layouts.items()]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(columns)], ["site", "node", "content", "layout", "page"])
 
-    seen = pages.select("site", "html").mapInArrow(run, "site string, content binary, page binary").distinct()
-    return seen.groupBy("site", "content").agg(F.count("*").alias("shown"))
+    seen = pages.select("site", "html").mapInArrow(run, "site string, node long, content long, layout long, page long").distinct()
+    return seen.groupBy("site", "node", "content", "layout").agg(F.count("*").alias("shown"))
 
 
 def noise_of(pages: DataFrame, bound: float = IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``(site, noise)``: the contents of low importance of each host that has any."""
-    tree = style_tree(pages)
-    # The empty content stands for the page itself, and is shown by all of them: the window needs no second pass.
-    counts = tree.groupBy("site").agg(F.max("shown").alias("pages"))
-    low = tree.join(counts, "site").where((F.col("content") != F.lit(b"")) & (F.col("shown") >= least_pages) & (F.col("shown") * 2 > F.col("pages")))
-    low = low.where(1 - F.log("shown") / F.log("pages") < bound)
-    return low.groupBy("site").agg(F.collect_list("content").alias("noise"))
+    """``(site, content)``: the contents of low importance of each host that has any."""
+    tree = checkpointed(style_tree(pages))
+    counts = tree.where("node IS NULL").select("site", F.col("shown").alias("pages")).where(F.col("pages") >= least_pages)
+    often = tree.where(F.col("content").isNotNull() & (F.col("shown") >= least_pages)).select("site", "node", "content", "shown")
+    often = often.join(bounded(counts), "site").where(F.col("shown") * 2 > F.col("pages"))
+    # Entropy of a node's layouts, in logarithms of the pages that have it.
+    m, x = F.sum("shown"), F.sum(F.col("shown") * F.log("shown"))
+    presented = tree.where("layout IS NOT NULL").groupBy("site", "node").agg(F.when(m > 1, (F.log(m) - x / m) / F.log(m)).otherwise(1.0).alias("presentation"))
+    shared = 1 - F.log("shown") / F.log("pages")
+    return often.join(presented, ["site", "node"]).where((1 - DECAY) * F.col("presentation") + DECAY * shared < bound).select("site", "content")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """``pages`` (``page_id, url, html``) as ``page_id, url, text, n_chars``."""
     sited = pages.select("page_id", "url", "html").withColumn("site", host())
-    noise = noise_of(sited)
+    found = checkpointed(noise_of(sited))
+    noise = found.groupBy("site").agg(F.collect_set("content").alias("noise"))
+    if found.count() <= BROADCAST_BLOCKS:
+        noise = F.broadcast(noise)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
