@@ -66,6 +66,42 @@ def letters_mask(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < 0x800, small[np.minimum(codes, 0x7FF)], (codes < 0x2000) | (codes > 0x206F))
 
 
+def cells(keyed: DataFrame, keys: list[str], value: str, cell_rows: int) -> DataFrame:
+    """``keys, a, b, first, value``: the rows of each key that has two or more, dealt into cells (``keys, a, b``), in order.
+
+    A key with more than ``cell_rows`` rows is dealt into blocks, and each pair of blocks is a cell of its own: no task holds
+    more than two blocks of a key, and no pair is lost. ``first`` tells the block of ``a``.
+    """
+    sizes = keyed.groupBy(*keys).count().where("count > 1").select(*keys, F.ceil(F.col("count") / cell_rows).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64(value, F.lit(7)), F.col("parts")).cast("int")
+    dealt = keyed.join(sizes, keys).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(*keys, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") <= F.col("other")).alias("first"), value)
+    return dealt.repartition(*keys, "a", "b").sortWithinPartitions(*keys, "a", "b")
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Tables of whole cells, which differ in ``names``, and the row range of each cell."""
+
+    def ranges(table: pa.Table) -> list[tuple[int, int]]:
+        columns = [table.column(c).to_numpy() for c in names]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        return list(zip([0, *cuts.tolist()], [*cuts.tolist(), table.num_rows], strict=True))
+
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.concat_tables([*held, pa.Table.from_batches([batch])])
+        cut = ranges(table)[-1][0]
+        if cut:
+            done = table.slice(0, cut).combine_chunks()
+            yield done, ranges(done)
+        held = [table.slice(cut)]
+    if held and held[0].num_rows:
+        done = held[0].combine_chunks()
+        yield done, ranges(done)
+
+
 def union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Joins the sets of ``a[i]`` and ``b[i]`` for each i, in place; a root is its set's smallest index."""
     while True:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import read
+from touchline.llm.common import cells, checkpointed, read, whole_cells
 
 BITS, CONTEXT, SEED = 512, 4, 42
 #: Steps whose random bits repeat, as a period far above any stretch that two texts walk side by side by chance.
@@ -182,23 +182,43 @@ def fingerprinted(docs: DataFrame, bits: int = BITS, context: int = CONTEXT, see
     return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_pairs(marks: DataFrame, bands: int = 32, least: float = 0.8, rows: int = 4096) -> DataFrame:
-    """Pairs ``(a, b, likeness)`` of distinct fingerprints that agree on a band of bits and are alike by ``least`` or more.
+def near_pairs(marks: DataFrame, bands: int = 32, least: float = 0.8, bits: int = BITS, cell_rows: int = 2048) -> DataFrame:
+    """Pairs ``(a, b, likeness)``, a < b, of distinct fingerprints that agree on a band of bits and are alike by ``least`` or more.
 
-    ``marks``: ``fingerprint`` of each document. Equal fingerprints collapse first. A band shared by more than ``rows``
-    fingerprints is split by the bands after it, which two alike fingerprints of that band share with high probability.
+    ``marks``: ``fingerprint`` of each document; nulls are left out. Equal fingerprints collapse first. A band that many
+    fingerprints share is dealt into cells of at most two blocks, and all its pairs are verified; only those that are
+    alike leave a task, and each of them once: from the first band that it agrees on.
     """
-    distinct = marks.select("fingerprint").distinct()
-    width = F.length("fingerprint") / bands
-    sliced = distinct.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
-    piece = lambda k, n=1: F.substring("fingerprint", (F.pmod(F.col("band") + k, F.lit(bands)) * width + 1).cast("int"), (width * n).cast("int"))
-    keyed = sliced.withColumn("key", piece(0)).withColumn("longer", F.concat(piece(0), piece(1)))
-    sizes = keyed.groupBy("band", "key").count()
-    keyed = keyed.join(sizes, ["band", "key"]).withColumn("key", F.when(F.col("count") > rows, F.col("longer")).otherwise(F.col("key"))).select("band", "key", "fingerprint")
-    other = keyed.select("band", "key", F.col("fingerprint").alias("b"))
-    pairs = keyed.withColumnRenamed("fingerprint", "a").join(other, ["band", "key"]).where("a < b").select("a", "b").distinct()
-    nibbles = F.expr("aggregate(sequence(1, cast(length(a) AS int), 15), 0L, (s, i) -> s + bit_count(cast(conv(substring(a, i, 15), 16, 10) AS long) ^ cast(conv(substring(b, i, 15), 16, 10) AS long)))")
-    return pairs.withColumn("likeness", F.greatest(F.lit(0.0), 1 - 2 * nibbles / (F.length("a") * 4))).where(F.col("likeness") >= least)
+    width = bits // 8 // bands
+    if width * 8 * bands != bits:
+        raise ValueError("a band must be whole bytes")
+    distinct = checkpointed(marks.where("fingerprint IS NOT NULL").select(F.unhex("fingerprint").alias("mark")).distinct())
+    banded = distinct.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
+    keyed = banded.select("band", F.xxhash64(F.substring("mark", F.col("band") * width + 1, F.lit(width))).alias("key"), "mark")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ranges in whole_cells(batches, ["band", "key", "a", "b"]):
+            marks_ = np.frombuffer(b"".join(table.column("mark").to_pylist()), np.uint8).reshape(-1, bits // 8)
+            band, a, b = (table.column(c).to_numpy() for c in ("band", "a", "b"))
+            first = table.column("first").to_numpy(zero_copy_only=False)
+            for s, e in ranges:
+                own, other = (np.arange(s, e),) * 2 if a[s] == b[s] else (s + np.flatnonzero(first[s:e]), s + np.flatnonzero(~first[s:e]))
+                words = marks_[other].view(np.uint64)
+                for at in range(0, len(own), 256):
+                    rows = own[at : at + 256]
+                    differ = np.zeros((len(rows), len(other)), np.int64)
+                    for k, w in enumerate(marks_[rows].view(np.uint64).T):
+                        differ += np.bitwise_count(w[:, None] ^ words[:, k])
+                    i, j = np.nonzero(1 - 2 * differ / bits >= least)
+                    x, y = rows[i], other[j]
+                    ok = (x < y) if a[s] == b[s] else np.ones(len(x), bool)
+                    shared = (marks_[x] == marks_[y]).reshape(len(x), bands, width).all(2)
+                    ok &= shared.any(1) & (shared.argmax(1) == band[s])
+                    pairs = [sorted((marks_[p].tobytes().hex(), marks_[q].tobytes().hex())) for p, q in zip(x[ok], y[ok], strict=True)]
+                    if pairs:
+                        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs]), pa.array(1 - 2 * differ[i, j][ok] / bits)], ["a", "b", "likeness"])
+
+    return cells(keyed, ["band", "key"], "mark", cell_rows).mapInArrow(run, "a string, b string, likeness double")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

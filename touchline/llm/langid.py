@@ -140,7 +140,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, classes:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 1000, epochs: int = 3) -> LanguageModel:
-    """Learns from all rows' document frequencies and from about ``per_language`` rows of each language, chosen by hash of ``key``."""
+    """Learns from all rows' document frequencies and from about ``per_language`` rows of each language, chosen by hash of ``key`` (null: of the text)."""
     rows = docs.where(F.col(lang).isNotNull() & F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     languages = sorted(counts)
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     df = document_counts(rows, text)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     share = F.coalesce(*(F.when(F.col(lang) == k, F.lit(min(1.0, per_language / n))) for k, n in counts.items()))
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(42)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text)), F.lit(42)), F.lit(1 << 30)) / float(1 << 30)
     sample = sorted(rows.where(draw < share).select(F.col(key).cast("string"), F.col(lang), F.col(text)).collect(), key=lambda r: (str(r[0]), r[1], r[2]))
     vectors, target = [sparse(r[2], idf) for r in sample], np.array([languages.index(r[1]) for r in sample], int)
     held = np.arange(len(sample)) % 5 == 4

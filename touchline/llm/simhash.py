@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import components, read, union
+from touchline.llm.common import cells, checkpointed, components, read, union, whole_cells
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Fingerprints of one cell of a key, and pairs compared at a time.
@@ -126,64 +126,31 @@ def key_masks(count: float, radius: int) -> list[int]:
 def links(distinct: DataFrame, radius: int = 4, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links ``(u, v)`` that span every set of fingerprints connected within ``radius``; ``distinct`` has ``simhash``.
 
-    A key with more than ``cell_rows`` fingerprints is dealt into blocks, and each pair of blocks is a cell of its own:
-    no task holds more than two blocks of a key, and no pair is lost.
+    A key with more than ``cell_rows`` fingerprints is dealt into cells; no pair is lost.
     """
     count = distinct.count()
     masks = key_masks(count, radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = distinct.select("simhash", F.posexplode(F.array(*(F.col("simhash").bitwiseAND(F.lit(m)) for m in signed))).alias("mask", "key"))
-    sizes = keyed.groupBy("mask", "key").count().where("count > 1").select("mask", "key", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("simhash", F.lit(7)), F.col("parts")).cast("int")
-    cells = (
-        keyed.join(sizes, ["mask", "key"])
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("mask", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") <= F.col("other")).alias("first"), "simhash")
-    )
     names = ["mask", "key", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def solved(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            """Links of whole cells, which follow one another in the table."""
-            columns = [table.column(c).to_numpy() for c in names]
+        for table, ranges in whole_cells(batches, names):
+            a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
             values, first = table.column("simhash").to_numpy(), table.column("first").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
             u, v = [], []
-            for s, e in zip([0, *cuts], [*cuts, len(values)], strict=True):
-                roots = forest(values[s:e].view(np.uint64), first[s:e], radius, bool(columns[2][s] == columns[3][s]))
+            for s, e in ranges:
+                roots = forest(values[s:e].view(np.uint64), first[s:e], radius, bool(a[s] == b[s]))
                 moved = np.flatnonzero(roots != np.arange(e - s))
                 u.append(values[s:e][moved])
                 v.append(values[s:e][roots[moved]])
-            return np.concatenate(u), np.concatenate(v)
-
-        def out(table: pa.Table) -> pa.RecordBatch:
-            u, v = solved(table)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(pa.Table.from_batches([batch]))
-            table = pa.concat_tables(held)
-            last = [table.column(c)[-1].as_py() for c in names]
-            same = np.all([table.column(c).to_numpy() == x for c, x in zip(names, last, strict=True)], axis=0)
-            cut = int(np.argmax(same))
-            if cut:
-                yield out(table.slice(0, cut).combine_chunks())
-            held = [table.slice(cut)]
-        if held and held[0].num_rows:
-            yield out(pa.concat_tables(held).combine_chunks())
-
-    return cells.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "u long, v long")
+    return cells(keyed, ["mask", "key"], "simhash", cell_rows).mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for each row: the smallest doc_id reachable by links of fingerprints."""
-    from touchline.llm.common import checkpointed
-
     rows = checkpointed(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words, seed))
     distinct = rows.groupBy("simhash").agg(F.min("doc_id").alias("low"))
     roots = components(links(distinct.select("simhash"), radius))

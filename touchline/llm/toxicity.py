@@ -187,7 +187,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = 40) -> ToxicityMode
     # A word's label: chance would have to be off by six standard deviations.
     labelled = np.array([z >= 6 and share >= 0.5 for _, z, share in telling] + [False])
     share = F.when(F.col("label") == 1, min(1.0, sample / 2 / sizes[1])).otherwise(min(1.0, sample / 2 / sizes[0]))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", "text"), F.lit(42)), F.lit(1 << 30)) / float(1 << 30)
     chosen = sorted((r[0] or "", r[1], r[2]) for r in rows.where(draw < share).select("doc_id", "text", "label").collect())
     texts, label = [r[1] for r in chosen], np.array([r[2] for r in chosen])
     codes, lengths = model.coded(texts)
