@@ -58,6 +58,14 @@ def test_cut_characters_go(spark):
     assert got == {1: ("ab", 2), 2: ("cd", 2), 3: (None, None)}
 
 
+def test_lost_texts_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "bounded", lambda df: df)
+    common_ = "".join(random.Random(9).choice("abcdefgh") for _ in range(450))
+    docs = spark.createDataFrame([(i, chr(65 + i) + common_ * (i % 2), "en", "s", 0) for i in range(20)] + [(30, "same " * 100, "en", "s", 500)] * 2, DOC)
+    got = sorted((r.doc_id, r.text, r.n_chars) for r in suffixes.without_repeats(docs).collect())
+    assert got == [(i, chr(65 + i), i % 2) for i in range(20)] + [(30, "", 0)] * 2
+
+
 def brute_simhash(text):
     words = text.encode().lower().split()
     grams = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
@@ -146,6 +154,20 @@ def test_fingerprints(spark):
     assert sorted(r.edited_sha256 for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("cell_rows", [7, 2048])
+def test_fingerprint_pairs_of_a_crowded_band(spark, cell_rows):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2, (12, 512), dtype=np.uint8)
+    marks = np.repeat(base, 6, 0) ^ (rng.random((72, 512)) < 0.04)
+    marks[:, :16] = 1  # all share the first band
+    texts = fingerprints.hexed(marks)
+    rows = [(t,) for t in texts + texts[:9]] + [(None,)]
+    got = {(r.a, r.b): r.likeness for r in fingerprints.near_pairs(spark.createDataFrame(rows, "fingerprint string"), cell_rows=cell_rows).collect()}
+    want = {tuple(sorted((texts[i], texts[j]))): 1 - 2 * (marks[i] != marks[j]).mean() for i in range(72) for j in range(i)}
+    assert got == {k: pytest.approx(v) for k, v in want.items() if v >= 0.8} and len(got) > 50
+    assert fingerprints.near_pairs(spark.createDataFrame([], "fingerprint string")).count() == 0
+
+
 def test_packing(spark):
     docs = awkward(spark)
     tokenizer = packing.default_tokenizer()

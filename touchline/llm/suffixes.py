@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import checkpointed, read
+from touchline.llm.common import bounded, checkpointed, read
 
 LENGTH, GRAM = 400, 64
 #: Places of one gram that a task takes as they are; short documents in one collection; window starts handled at a time.
@@ -393,10 +393,11 @@ def spans(runs: list, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS, made: dict[str, Column] | None = None) -> DataFrame:
+def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS, made: dict[str, Column] | None = None, by_key: bool = False) -> DataFrame:
     """``docs`` with ``n_bytes``, ``spans`` (removed byte ranges, half open) and ``kept`` (the remaining bytes) in place of the text.
 
     ``made``: columns over these three to return instead of them; made once for each distinct text, before rows are joined.
+    ``by_key``: a row for each distinct text instead, with its ``__key``.
     """
     if gram & (gram - 1) or length < gram + 8 or length % 8:
         raise ValueError("gram must be a power of two, length a multiple of 8 and at least 8 over gram")
@@ -419,6 +420,8 @@ def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
     names = ["n_bytes", "spans", "kept"] if made is None else list(made)
     if made is not None:
         done = done.select("__key", *(c.alias(n) for n, c in made.items()))
+    if by_key:
+        return done
     others = [c for c in docs.columns if c != text and c not in names]
     return rows.select(*others, "__key").join(done, "__key").drop("__key")
 
@@ -437,10 +440,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A text that loses nothing, null included, is unchanged.
     """
-    marked = docs.withColumn("__text", F.col("text"))
-    # Texts that lose nothing stay where they are; only those that lose something travel once more.
     new = F.when(F.size("spans") > 0, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
-    out = strip_repeats(marked, "__text", made={"__new": new}).withColumn("text", F.coalesce("__new", "text"))
+    rows = docs.withColumn("__text", F.col("text"))
+    lost = checkpointed(strip_repeats(rows.select("__text"), "__text", made={"__new": new}, by_key=True).where("__new IS NOT NULL"))
+    # Texts that lose nothing stay where they are; the others are replaced, so that none of them moves from here.
+    rows = with_key(docs, "text").drop("__raw").join(bounded(lost.select("__key", F.lit(True).alias("__lost"))), "__key", "left")
+    same = rows.where("__lost IS NULL").select(docs.columns)
+    changed = rows.where("__lost").drop("text").join(lost, "__key").withColumnRenamed("__new", "text")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return same.unionByName(changed.select(docs.columns))
