@@ -38,18 +38,25 @@ def brute_repeats(texts, length):
         yield len(t), int(gone.sum()), len(runs) // 2, np.frombuffer(t, np.uint8)[~gone].tobytes()
 
 
-@pytest.mark.parametrize(("length", "gram", "crowd"), [(64, 16, 20_000), (40, 32, 20_000), (64, 16, 3)])
-def test_suffixes_against_brute_force(spark, length, gram, crowd):
+@pytest.mark.parametrize(("length", "gram", "crowd", "salt_after"), [(64, 16, 20_000, 16), (40, 32, 20_000, 0), (64, 16, 3, 16), (64, 16, 3, 0), (64, 16, 20_000, 0)])
+def test_suffixes_against_brute_force(spark, length, gram, crowd, salt_after):
     rnd = random.Random(1)
     text = lambda n: bytes(rnd.choice(b"abcdefgh ") for _ in range(n))
     shared = [text(rnd.randint(20, 300)) for _ in range(6)]
     texts = [text(rnd.randint(0, 150)) + b"".join(rnd.choice(shared)[rnd.randint(0, 60) :] + text(rnd.randint(0, 50)) for _ in range(rnd.randint(0, 3))) for _ in range(40)]
-    texts += [b"a" * 90, b"a" * 64, b"ab" * 80, b"", texts[3], b"abc" * 30]
+    texts += [b"a" * 90, b"a" * 64, b"ab" * 80, b"", texts[3], b"abc" * 30, *[texts[5] + shared[0]] * 9]
     df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = suffixes.strip_repeats(df, "text", length, gram, crowd).select("n_bytes", suffixes.removed(F.col("spans")), F.size("spans"), "kept", "doc_id").orderBy("doc_id").collect()
+    got = suffixes.strip_repeats(df, "text", length, gram, crowd, salt_after=salt_after).select("n_bytes", suffixes.removed(F.col("spans")), F.size("spans"), "kept", "doc_id").orderBy("doc_id").collect()
     assert [(r[0], r[1], r[2], bytes(r[3])) for r in got] == list(brute_repeats(texts, length))
 
 
+def test_salts_leave_two_places():
+    salter, keys = suffixes.Salter(0), pytest.importorskip("pyarrow").array([b"a" * 16, b"b" * 16, b"c" * 16])
+    grams = np.array([7, 7, 7, 7, 7, 9, 9])
+    got = salter.salts(grams, keys, np.array([0, 0, 1, 2, 0, 0, 1]), np.zeros(7, np.int64))
+    assert (got > 0).tolist() == [False, False, False, True, False, False, False]
+
+
 def test_cut_characters_go(spark):
     common_ = "x" * 500
     # The repeat starts with the last byte of a character, which both texts share; what is left of it goes.

@@ -16,6 +16,7 @@ document included. The work is split so that no task needs the whole collection:
 4. Runs of suffixes with a common prefix of ``length`` bytes are repeats. Windows that start inside a symbol compare the
    few bytes before it too.
 
+A task that meets a gram often deals its places over salted parts, so that they are counted in many tasks.
 An anchor with more than ``group_rows`` places (a passage that a third of all documents share) is not gathered in one
 task: its windows are dealt into pieces of a few neighbours, equal pieces are counted before the shuffle, and distinct ones are
 compared window by window, by digest.
@@ -42,6 +43,8 @@ LENGTH, GRAM = 400, 64
 GROUP_ROWS, COLLECTION, CHUNK = 20_000, 20_000, 1 << 19
 #: Neighbouring windows that travel together where a gram is crowded.
 PIECE = 16
+#: Places of one gram that a task sends to where all of that gram meet, before it deals the rest over SALTS - 1 other parts.
+SALT_AFTER, SALTS = 16, 64
 
 
 def anchors_of(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -92,6 +95,30 @@ def anchor_rows(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np
         yield from _anchors(parts, length, gram)
 
 
+class Salter:
+    """Deals the places of a gram that a task meets often.
+
+    A place gets a salt only after two distinct places of its gram went without one. So what stays without a salt always
+    shows two places, and a gram with a salted place needs no count to be known as repeated.
+    """
+
+    def __init__(self, after: int) -> None:
+        self.after, self.counts, self.plain = after, np.zeros(1 << 20, np.int32), {}
+
+    def salts(self, grams: np.ndarray, keys: pa.Array, text: np.ndarray, first: np.ndarray) -> np.ndarray:
+        cell, out = grams & ((1 << 20) - 1), np.zeros(len(grams), np.int32)
+        np.add.at(self.counts, cell, 1)
+        for i in np.flatnonzero(self.counts[cell] > self.after).tolist():
+            place, plain = (keys[int(text[i])].as_py(), int(first[i])), self.plain.setdefault(int(grams[i]), [])
+            if place in plain:
+                continue
+            if len(plain) < 2:
+                plain.append(place)
+            else:
+                out[i] = 1 + (int.from_bytes(place[0][:4], "little") + place[1]) % (SALTS - 1)
+        return out
+
+
 def _anchors(parts: list[tuple[int, int, bytes]], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
     sizes = np.array([len(p) for _, _, p in parts])
     stops = np.cumsum(sizes)
@@ -275,7 +302,7 @@ def with_key(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("__raw", raw).withColumn("__key", F.substring(F.unhex(F.sha2("__raw", 256)), 1, 16))
 
 
-def repeats(rows: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+def repeats(rows: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS, salt_after: int = SALT_AFTER) -> DataFrame:
     """``(key, runs)`` for each distinct text that has repeated windows.
 
     ``rows``: ``__key`` and ``__raw`` of all texts, read where they lie to find anchors; ``texts``: ``key``, ``raw``,
@@ -283,15 +310,22 @@ def repeats(rows: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int =
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salter = Salter(salt_after)
         for batch in batches:
             keys = batch.column("__key")
             for k, h, at, first, last in anchor_rows(batch.column("__raw").to_pylist(), length, gram):
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(k)), *(pa.array(x, pa.int64()) for x in (h, at, first, last))], ["key", "gram", "at", "first", "last"])
-
-    places = rows.select("__key", "__raw").mapInArrow(find, "key binary, gram long, at long, first long, last long")
-    # One shuffle by gram serves both the removal of copies' places and the count.
-    places = places.repartition("gram").dropDuplicates(["gram", "key", "first"])
-    places = checkpointed(places.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).where("n > 1"))
+                salt = pa.array(salter.salts(h, keys, k, first), pa.int32())
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(k)), *(pa.array(x, pa.int64()) for x in (h, at, first, last)), salt], ["key", "gram", "at", "first", "last", "salt"])
+
+    places = rows.select("__key", "__raw").mapInArrow(find, "key binary, gram long, at long, first long, last long, salt int")
+    # One shuffle serves both the removal of copies' places and the count. A copy's place may stay once with a salt and once
+    # without: its text has copies, so that it goes as a whole anyway.
+    places = places.repartition("gram", "salt").dropDuplicates(["gram", "salt", "key", "first"])
+    places = checkpointed(places.withColumn("n", F.count("*").over(Window.partitionBy("gram", "salt"))).where("n > 1 OR salt > 0"))
+    if places.where("salt > 0").take(1):
+        dealt = places.where("salt > 0").select("gram").distinct()
+        total = places.join(bounded(dealt), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("total"))
+        places = places.join(bounded(total), "gram", "left").withColumn("n", F.coalesce("total", "n")).drop("total")
     crowds = bool(places.where(F.col("n") > group_rows).take(1))
     names = ["gram", "sub", "key", "at", "first", "segment"]
 
@@ -393,7 +427,7 @@ def spans(runs: list, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS, made: dict[str, Column] | None = None, by_key: bool = False) -> DataFrame:
+def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS, made: dict[str, Column] | None = None, by_key: bool = False, salt_after: int = SALT_AFTER) -> DataFrame:
     """``docs`` with ``n_bytes``, ``spans`` (removed byte ranges, half open) and ``kept`` (the remaining bytes) in place of the text.
 
     ``made``: columns over these three to return instead of them; made once for each distinct text, before rows are joined.
@@ -403,7 +437,7 @@ def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
         raise ValueError("gram must be a power of two, length a multiple of 8 and at least 8 over gram")
     rows = with_key(docs, text)
     texts = rows.groupBy(F.col("__key").alias("key")).agg(F.first("__raw").alias("raw"), F.count("*").alias("copies"))
-    found = repeats(rows, texts, length, gram, group_rows)
+    found = repeats(rows, texts, length, gram, group_rows, salt_after)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
