@@ -298,3 +298,15 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (None, 3)], "u long, v long")
     got = {r.node: r.root for r in common.components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_vectors_same_as_sql(spark):
+    import duckdb
+
+    from touchline.llm.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM read_parquet('/root/testdata/sf0.001/embeddings.parquet')")
+    names = ["vec_id", "n_links", "component_id", "kept"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({ORACLE_SQL['op9_embeddings']}) ORDER BY vec_id").fetchall()
+    assert [tuple(r) for r in vectors.op9_embeddings(spark, "/root/testdata/sf0.001").select(names).orderBy("vec_id").collect()] == want

@@ -31,8 +31,8 @@ ORACLE_SQL = {
         WITH RECURSIVE good AS (
             SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-              AND len(list_filter(embedding, x -> x <> 0)) > 0
+              AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0
+              AND len([x for x in embedding if x <> 0]) > 0
         ), links AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
             WHERE list_cosine_similarity(a.v, b.v) >= 0.9
