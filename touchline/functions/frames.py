@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
+
 def order() -> WindowSpec:
     return Window.partitionBy("instrument").orderBy("bar_idx")
 
@@ -19,7 +20,8 @@ def rolling(value: Column, n: int, least: int | None = None) -> Column:
 
 
 def back_fill(value: Column) -> Column:
-    return F.first(value, ignorenulls=True).over(order().rowsBetween(0, Window.unboundedFollowing))
+    """The next value that is not null. The rows are taken backwards: a frame that only grows costs each row once."""
+    return F.last(value, ignorenulls=True).over(Window.partitionBy("instrument").orderBy(F.desc("bar_idx")).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def forward_fill(value: Column) -> Column:

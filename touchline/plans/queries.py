@@ -375,7 +375,17 @@ def _atr(spark, sf):
     return out(I.recursive(candles(spark, sf)), r("ATR_14", 5).alias("atr"))
 
 
-@query("adx")
+#: Wilder's sums start from plain means of the first 14 ranges and movements; the index is the same mean of 14 directional values.
+ADX = f"""{TR}, moves AS (SELECT *, high - lag(high) OVER ({W}) AS up, lag(low) OVER ({W}) - low AS down FROM tr),
+dm AS (SELECT instrument, bar_idx, tr, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END::DOUBLE AS p, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END::DOUBLE AS m FROM moves),
+di AS (SELECT instrument, 14::BIGINT AS bar_idx, avg(tr) AS r, avg(p) AS p, avg(m) AS m FROM dm WHERE bar_idx BETWEEN 1 AND 14 GROUP BY instrument HAVING count(*) = 14
+UNION ALL SELECT d.instrument, c.bar_idx, (d.r * 13 + c.tr) / 14, (d.p * 13 + c.p) / 14, (d.m * 13 + c.m) / 14 FROM di d JOIN dm c ON c.instrument = d.instrument AND c.bar_idx = d.bar_idx + 1),
+dx AS MATERIALIZED (SELECT instrument, bar_idx, CASE WHEN p + m > 0 AND r > 0 THEN 100 * abs(p - m) / (p + m) ELSE 0 END::DOUBLE AS dx FROM di),
+adx AS (SELECT instrument, 27::BIGINT AS bar_idx, avg(dx) FILTER (bar_idx <= 27) AS a FROM dx GROUP BY instrument HAVING count(*) > 14
+UNION ALL SELECT a.instrument, x.bar_idx, (a.a * 13 + x.dx) / 14 FROM adx a JOIN dx x ON x.instrument = a.instrument AND x.bar_idx = a.bar_idx + 1)"""
+
+
+@query("adx", sql("SELECT c.instrument, c.t, round(coalesce(a.a, 0), 4) AS adx FROM candles c LEFT JOIN adx a USING (instrument, bar_idx)", ADX))
 def _adx(spark, sf):
     return out(I.recursive(candles(spark, sf)), r("ADX_14", 4).alias("adx"))
 
@@ -420,11 +430,11 @@ def pattern_sql() -> str:
         "CDL3BLACKCROWS": "close < open AND c1 < o1 AND c2 < o2 AND close < c1 AND c1 < c2 AND open BETWEEN y1 AND x1 AND o1 BETWEEN y2 AND x2",
         "CDLDARKCLOUDCOVER": "c1 > o1 AND b1 > usual AND close < open AND open > h1 AND close < (o1 + c1) / 2 AND close > o1",
     }
-    cases = [f"(CASE WHEN {bull.get(n, 'false')} THEN 100 WHEN {bear.get(n, 'false')} THEN -100 ELSE 0 END)::BIGINT AS {n}" for n in I.patterns()]
+    cases = [f"(CASE WHEN {bull.get(n, 'false')} THEN 100 WHEN {bear.get(n, 'false')} THEN -100 ELSE 0 END)::BIGINT AS {n}" for n in dict.fromkeys([*bull, *bear])]
     return sql(f"SELECT instrument, t, {', '.join(cases)} FROM p", ctes)
 
 
-@query("candle_patterns")
+@query("candle_patterns", pattern_sql())
 def _patterns(spark, sf):
     return out(candles(spark, sf), *(c.cast("long").alias(n) for n, c in I.patterns().items()))
 
@@ -432,7 +442,18 @@ def _patterns(spark, sf):
 # ---- Structure, time, price action, regimes ----------------------------------------------------------------------------
 
 
-@query("zigzag_sr")
+#: One bar a step: a rising leg ends when a low lies under its highest high by more than the threshold, a falling one likewise.
+ZIGZAG = f"""{GIVEN}, bars AS MATERIALIZED (SELECT instrument, bar_idx, high::FLOAT AS h, low::FLOAT AS l, coalesce(atr, 0) * {float(config.SWING_ATR)}::DOUBLE AS gap FROM given),
+legs AS (SELECT instrument, bar_idx, true AS rising, h AS extreme, l AS floor_, h AS ceiling_ FROM bars WHERE bar_idx = 0
+UNION ALL SELECT b.instrument, b.bar_idx, CASE WHEN s.rising THEN NOT (b.h <= s.extreme AND b.l::DOUBLE < s.extreme::DOUBLE - b.gap) ELSE b.l >= s.extreme AND b.h::DOUBLE > s.extreme::DOUBLE + b.gap END,
+  CASE WHEN s.rising THEN CASE WHEN b.h > s.extreme THEN b.h WHEN b.l::DOUBLE < s.extreme::DOUBLE - b.gap THEN b.l ELSE s.extreme END
+    ELSE CASE WHEN b.l < s.extreme THEN b.l WHEN b.h::DOUBLE > s.extreme::DOUBLE + b.gap THEN b.h ELSE s.extreme END END,
+  CASE WHEN NOT s.rising AND b.l >= s.extreme AND b.h::DOUBLE > s.extreme::DOUBLE + b.gap THEN s.extreme ELSE s.floor_ END,
+  CASE WHEN s.rising AND b.h <= s.extreme AND b.l::DOUBLE < s.extreme::DOUBLE - b.gap THEN s.extreme ELSE s.ceiling_ END
+  FROM legs s JOIN bars b ON b.instrument = s.instrument AND b.bar_idx = s.bar_idx + 1)"""
+
+
+@query("zigzag_sr", sql("SELECT c.instrument, c.t, round(s.floor_::DOUBLE, 4) AS support, round(s.ceiling_::DOUBLE, 4) AS resistance FROM candles c LEFT JOIN legs s ON s.instrument = c.instrument AND s.bar_idx = greatest(c.bar_idx, 1)", ZIGZAG))
 def _zigzag(spark, sf):
     return out(I.zigzag(given(spark, sf).na.fill(0.0, ["atr"]), "atr"), r(C("support").cast("double"), 4).alias("support"), r(C("resistance").cast("double"), 4).alias("resistance"))
 
