@@ -1,6 +1,7 @@
 """Small cases with known answers."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,27 @@ def test_streaming_candles_and_state(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT max(bars), max(mean_close) FROM cache").first() == (3, 50.0)
+
+
+def test_scaling_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(enrich, "BLOCK_BARS", 8)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2, 61)).round(3)
+    x[0, 10:25] = 2.5  # a stretch without deviation
+    rows = [(f"i{k}", j + 3, None if j == 40 else float(x[k, j]), "kept") for k in range(2) for j in range(61)]
+    df = spark.createDataFrame(rows, "instrument string, bar_idx long, x double, label string")
+    got = enrich.rolling_zscore(df, ["x"], window=5, least=2, fill="none")
+    assert got.columns == df.columns
+    by = {(r.instrument, r.bar_idx): r for r in got.collect()}
+    assert len(by) == 122 and {r.label for r in by.values()} == {"kept"}
+    for k in range(2):
+        s = pd.Series(x[k])
+        s[40] = 0.0
+        spread = s.rolling(5, min_periods=2).std()
+        want = ((s - s.rolling(5, min_periods=2).mean()) / spread).where(spread > 1e-12)
+        for j in range(61):
+            z = by[f"i{k}", j + 3].x
+            assert (z is None) == bool(np.isnan(want[j])) and (z is None or abs(z - want[j]) < 1e-6)
+    filled = {(r.instrument, r.bar_idx): r.x for r in enrich.rolling_zscore(df, ["x"], window=5, least=2).collect()}
+    assert filled["i0", 3] == by["i0", 4].x and filled["i0", 20] == by["i0", 28].x
+    assert enrich.rolling_zscore(df.limit(0), ["x"]).count() == 0

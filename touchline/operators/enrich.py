@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline import config
-from touchline.functions.frames import back_fill, last
+from touchline.functions.frames import back_fill, order
 
 C = F.col
+#: Rows of an instrument that are scaled in one task.
+BLOCK_BARS = 4096
 #: Anchors, and the columns that are taken relative to each.
 ANCHORS = (
     ("close", r"^(open|high|low|SMA_.*|EMA_.*|BB_.*|support|resistance|ATR_level.*)$"),
@@ -96,22 +101,35 @@ def scaled_columns(df: DataFrame, live: bool = False) -> list[str]:
     return [n for n, t in df.dtypes if t in numeric and n not in hot | fixed and not n.startswith("CDL") and (live or "_rel_" not in n)]
 
 
-def zscore(value: Column, window: int = config.SCALE_WINDOW, least: int | None = None, fill: str = "back") -> Column:
-    """(x - mean) / deviation over the last ``window`` rows. Missing values count as 0.
+def rolling_zscore(df: DataFrame, columns: list[str] | None = None, window: int = config.SCALE_WINDOW, least: int | None = None, fill: str = "back") -> DataFrame:
+    """(x - mean) / deviation of each column over an instrument's last ``window`` rows. Missing values count as 0.
 
-    Rows without a deviation are filled from the rows after them (``fill='back'``, which looks ahead) or with 0.
+    Rows without a deviation are filled from the rows after them (``fill='back'``, which looks ahead) or with 0; ``'none'``
+    leaves them null. Rows go in blocks that carry the ``window - 1`` rows before them, so that one instrument is many tasks,
+    and means and deviations roll on instead of being added up again for each row and column, as a frame of Spark's would.
     """
-    x = F.coalesce(value.cast("double"), F.lit(0.0))
-    least = max(2, window // 10) if least is None else least
-    spread = F.stddev_samp(x).over(last(window))
-    z = F.when((F.count(x).over(last(window)) >= least) & (spread > 1e-12), F.try_divide(x - F.avg(x).over(last(window)), spread))
-    return z if fill == "none" else F.coalesce(z, F.lit(0.0)) if fill == "zero" else z
-
-
-def rolling_zscore(df: DataFrame, columns: list[str] | None = None, window: int = config.SCALE_WINDOW, least: int | None = None, fill: str = "back") -> DataFrame:
     columns = scaled_columns(df) if columns is None else columns
-    out = df.withColumns({c: zscore(C(c), window, least, "none" if fill == "back" else fill) for c in columns})
-    return out.withColumns({c: F.coalesce(back_fill(C(c)), F.lit(0.0)) for c in columns}) if fill == "back" else out
+    least = max(2, window // 10) if least is None else least
+    block, names = max(BLOCK_BARS, window), df.columns
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__row")
+        own = pc.equal(table["__own"], table["__block"]).to_numpy()
+        x = pd.DataFrame({c: table[c].to_numpy() for c in columns}).fillna(0.0)
+        rolled = x.rolling(window, min_periods=least)
+        spread = rolled.std()
+        z = ((x - rolled.mean()) / spread).where(spread > 1e-12)[own]
+        mine = table.filter(pa.array(own))
+        return pa.table({n: pa.array(z[n].to_numpy(), from_pandas=True) if n in columns else mine[n] for n in names})
+
+    rows = df.withColumns({c: C(c).cast("double") for c in columns}).withColumn("__row", F.row_number().over(order()) - 1)
+    rows = rows.withColumn("__own", F.floor(C("__row") / block)).withColumn("__ahead", C("__row") % block > block - window)
+    rows = rows.withColumn("__block", F.explode(F.when(C("__ahead"), F.array("__own", C("__own") + 1)).otherwise(F.array("__own")))).drop("__ahead")
+    schema = ", ".join(f"`{f.name}` {'double' if f.name in columns else f.dataType.simpleString()}" for f in df.schema)
+    out = rows.groupBy("instrument", "__block").applyInArrow(run, schema)
+    if fill == "none":
+        return out
+    return out.withColumns({c: F.coalesce(back_fill(C(c)) if fill == "back" else C(c), F.lit(0.0)) for c in columns})
 
 
 def gold(features: DataFrame, live: bool = False) -> DataFrame:
