@@ -258,6 +258,23 @@ def test_pages(spark):
     assert got[21] == "Story number 1 is long enough to be the main thing."
 
 
+KIND = "page_id long, url string, html string"
+
+
+def texts_of(spark, bodies, **kwargs):
+    rows = [(i, f"http://{site}/{i}", f"<body>{body}</body>") for i, (site, body) in enumerate(bodies)]
+    return [r.text for r in pages.extracted(spark.createDataFrame(rows, KIND), **kwargs).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("blocks", [1_000_000, 0])
+def test_pages_tree_before_names(spark, blocks):
+    wraps = ["<div class='content has-sidebar'>{}</div>", "<div class='no-sidebar'>{}</div>", "<div class='article legal'>{}</div>", "<div class='entry form-post'>{}</div>", "<div class='legal-pages'><article>{}</article></div>", "<form>{}</form>"]
+    inner = "<p>Story {} of one page.</p><div class='sidebar'>Aside {}</div>"
+    for few in (1, 8):
+        bodies = [(f"w{k}.example", w.format(inner.format(i, i))) for k, w in enumerate(wraps) for i in range(few)]
+        assert texts_of(spark, bodies, broadcast_blocks=blocks) == [f"Story {i} of one page." for _ in wraps for i in range(few)]
+
+
 STAGES = [langid.keep_known, simhash.keep_one, suffixes.without_repeats, mixing.mixed]
 
 

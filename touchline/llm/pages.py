@@ -1,19 +1,22 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree of style nodes: the path of tags, classes and ids that leads to a block of text.
-A block's content importance is one minus the entropy of its appearances over the host's pages, in logarithms of their
-number: 1 for what one page alone shows, 0 for what all pages show alike. A style node's presentation importance is the entropy
-of the styles of its children over the pages that have it: 0 where all pages lay it out alike. Both make up a block's importance
-(Yi, Liu and Li, 2003, whose weight of a level is ``DECAY``). Blocks of low importance that most pages of the host share are
-noise and go from each page. A host with few pages, or a branch whose content differs from page to page, tells nothing that way:
-names then decide, those of elements (nav, footer, aside, form ...) and of classes, ids and roles.
-Where a page marks its article or main part, only that counts. A page that would lose most of its text to its host's other
-pages is a copy of them rather than noise, and keeps it.
-
-Blocks and layouts are counted once per distinct page; counts are aggregated by host, node and content before anything meets,
-so that a host with a third of all pages is no single task's work. Noise shared by over half of a host's pages is bounded by
-twice the blocks of a mean page, whatever the number of pages. Up to a million such blocks of all hosts are broadcast, and
-pages then stay where they lie; beyond that, pages join them by host through a shuffle.
+All blocks of all pages are in it, whatever their names. A block's content importance is one minus the entropy of its appearances
+over the host's pages, in logarithms of their number: 1 for what one page alone shows, 0 for what all pages show alike. A style
+node's presentation importance is the entropy of the styles of its children over the pages that have it: 0 where all pages lay it
+out alike. Both make up a block's importance (Yi, Liu and Li, 2003, whose weight of a level is ``DECAY``). Blocks of low importance
+that over half of the host's pages show are noise and go from each page.
+
+Names decide on what the tree leaves. Elements and roles (nav, footer, aside ...) and hidden parts are believed. A class or id, or
+a form, is not believed where it holds over half of the text that the tree leaves to the page (a wrapper named ``no-sidebar`` or
+``legal`` is the page), and one that names comments only where it holds all of it. Where a page marks its article or main part, only
+that counts.
+A page that would lose most of its text to its host's other pages is a copy of them rather than noise, and keeps it.
+
+Blocks and layouts are counted once per distinct page, told by the digest of all its blocks; counts are aggregated by host, node
+and content before anything meets, so that a host with a third of all pages is no single task's work. Up to a million noise blocks of
+all hosts go to the workers as sorted numbers, and pages then stay where they lie; beyond that, the blocks of each page meet the noise
+through a shuffle, so that a page never carries more noise than it shows.
 
 Nulls: a null or empty html gives the empty text; a null url is a host of its own name (empty). Repeated rows count as one
 page. Whole pages are read.
@@ -26,6 +29,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,42 +55,60 @@ NOISE_WORDS = set(
     "disqus replies reply respond share sharing social breadcrumb breadcrumbs related recommended recommendations pagination pager "
     "toolbar topbar legal copyright disclaimer tags tagcloud skip".split()
 )
+#: Words that name user text, words that as a whole class or id name the article, and words after which a name tells of the layout.
+COMMENT_WORDS = set("comment comments commentlist discussion disqus replies reply respond".split())
 ARTICLE_WORDS = set("article post entry content main story".split())
+LAYOUT_WORDS = set("no has with without".split())
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 #: A block is noise if its importance is below the bound and over half of at least LEAST_PAGES distinct pages show it.
 IMPORTANCE, LEAST_PAGES = 0.5, 4
 #: Weight of content against presentation in a block's importance.
 DECAY = 0.9
-#: Noise blocks of all hosts, of a site and eight bytes each, up to which they are broadcast.
+#: Noise blocks of all hosts, of eight bytes each, up to which they go to all workers.
 BROADCAST_BLOCKS = 1_000_000
 
 
 class Block:
-    """A run of text in page order: its style path, whether it lies in a named noise branch or in the article, its link share."""
+    """A run of text in page order: its style path, whether it lies in a noise element or in the article, its link share, and the
+    doubtful names (numbers of elements) that it lies under."""
 
-    __slots__ = ("article", "linked", "noise", "path", "text")
+    __slots__ = ("article", "linked", "names", "noise", "path", "text")
 
-    def __init__(self, path: str, text: str, noise: bool, article: bool, linked: float) -> None:
-        self.path, self.text, self.noise, self.article, self.linked = path, text, noise, article, linked
+    def __init__(self, path: str, text: str, noise: bool, article: bool, linked: float, names: tuple[int, ...] = ()) -> None:
+        self.path, self.text, self.noise, self.article, self.linked, self.names = path, text, noise, article, linked, names
 
-    def key(self) -> int:
-        return digest(f"{self.path}\n{self.text}")
+    def key(self, site: str) -> int:
+        return digest(f"{site}\n{self.path}\n{self.text}")
 
 
 def digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def named(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """A node's style, whether its names mark noise, and whether they mark the article."""
-    noise, article, style = tag in NOISE_TAGS, tag in ("article", "main"), tag
+def doubtful(value: str) -> str:
+    """What a class or id names: ``comment``, ``noise`` or nothing."""
+    kind = ""
+    for token in value.split():
+        words = [w.lower() for w in WORD.findall(token)]
+        if len(words) == 1 and words[0] in ARTICLE_WORDS:
+            return ""
+        for before, w in zip(["", *words], words):
+            if w in NOISE_WORDS and before not in LAYOUT_WORDS:
+                kind = "comment" if w in COMMENT_WORDS or kind == "comment" else "noise"
+    return kind
+
+
+def named(tag: str, attributes: str) -> tuple[str, bool, bool, str]:
+    """A node's style, whether it is a noise element, whether it is marked as the article, and what its class, id or form names."""
+    noise, article, style = tag in NOISE_TAGS and tag != "form", tag in ("article", "main"), tag
+    kinds = {"noise"} if tag == "form" else set()
     if attributes:
+        plain = tag in ("body", "html", "main")
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
-                words = {w.lower() for w in WORD.findall(value)}
                 style += ("." if name == "class" else "#") + re.sub(r"\d+", "", value)
-                noise |= bool(words & NOISE_WORDS) and tag not in ("body", "html", "main")
+                kinds |= set() if plain else {doubtful(value)}
             elif name == "role":
                 noise |= value.lower() in NOISE_ROLES
                 article |= value.lower() in ("main", "article")
@@ -94,14 +116,18 @@ def named(tag: str, attributes: str) -> tuple[str, bool, bool]:
                 noise = True
             elif name == "itemprop":
                 article |= value.lower() == "articlebody"
-    return style, noise, article and not noise
+    return style, noise, article and not noise, "comment" if "comment" in kinds else "noise" if "noise" in kinds else ""
+
 
+def parse(page: str) -> tuple[list[Block], set[int]]:
+    """The page's blocks of text, by one scan over its tags, and those doubtful names that name comments.
 
-def parse(page: str) -> list[Block]:
-    """The page's blocks of text, by one scan over its tags; unclosed and stray tags are closed as browsers do."""
+    Unclosed and stray tags are closed as browsers do.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, noise, article
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, path, noise, article, doubtful names
     parts: list[str] = []
+    comments: set[int] = set()
     linked = at = links = 0
 
     def flush() -> None:
@@ -110,8 +136,8 @@ def parse(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                top = stack[-1] if stack else ("", "", False, False)
-                out.append(Block(top[1], text, top[2], top[3], min(1.0, linked / len(text))))
+                top = stack[-1] if stack else ("", "", False, False, ())
+                out.append(Block(top[1], text, top[2], top[3], min(1.0, linked / len(text)), top[4]))
         linked = 0
 
     def pop(k: int) -> None:
@@ -167,96 +193,162 @@ def parse(page: str) -> list[Block]:
                     break
                 if stack[k][0] in BOUNDS:
                     break
-        style, noise, article = named(tag, m[3])
-        over = stack[-1] if stack else ("", "", False, False)
+        style, noise, article, kind = named(tag, m[3])
+        over = stack[-1] if stack else ("", "", False, False, ())
         path = over[1] if tag in INLINE else f"{over[1]}/{style}"
-        stack.append((tag, path, over[2] or noise, (over[3] or article) and not noise))
+        stack.append((tag, path, over[2] or noise, (over[3] or article) and not noise, (*over[4], at) if kind else over[4]))
+        if kind == "comment":
+            comments.add(at)
         links += tag == "a"
     flush()
-    return out
+    return out, comments
 
 
-def candidates(blocks: list[Block]) -> list[Block]:
-    """What names leave: the marked article where there is one, else all but named noise and blocks that are links."""
-    marked = [b for b in blocks if b.article and not b.noise]
-    return marked or [b for b in blocks if not b.noise and b.linked < 0.8]
+def candidates(blocks: list[Block], comments: set[int]) -> list[Block]:
+    """What names leave: the marked article where there is one, else all but noise by name and blocks that are links."""
+    blocks = [b for b in blocks if not b.noise]
+    held: dict[int, int] = {}
+    whole = 0
+    for b in blocks:
+        if b.linked < 0.8:
+            whole += len(b.text)
+            for n in b.names:
+                held[n] = held.get(n, 0) + len(b.text)
+    wrappers = {n for n, size in held.items() if size == whole or (2 * size > whole and n not in comments)}
+    blocks = [b for b in blocks if wrappers.issuperset(b.names)]
+    return [b for b in blocks if b.article] or [b for b in blocks if b.linked < 0.8]
+
+
+def size(blocks: list[Block]) -> int:
+    return sum(len(b.text) for b in blocks)
+
+
+def main_text(page: str | None, site: str, most: Sorted | set[int], some: Sorted | set[int]) -> str:
+    """The page's main text, given its noise: what over half of its host's pages show, and what fewer show."""
+    blocks, comments = parse(page or "")
+    if most or some:
+        key = {b: b.key(site) for b in blocks}
+        whole = candidates(blocks, comments)
+        kept = candidates([b for b in blocks if key[b] not in most and key[b] not in some], comments)
+        if 2 * size(kept) < size(whole):
+            kept = whole
+    else:
+        kept = candidates(blocks, comments)
+    return "\n".join(b.text for b in kept)
 
 
-def main_text(page: str | None, noise: set[int]) -> str:
-    """The page's main text, given its host's noise."""
-    blocks = candidates(parse(page or ""))
-    kept = [b for b in blocks if not noise or b.key() not in noise]
-    if sum(len(b.text) for b in kept) < 0.5 * sum(len(b.text) for b in blocks):
-        kept = blocks
-    return "\n".join(b.text for b in kept)
+class Sorted:
+    """Sorted numbers, asked like a set."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = values
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    def __contains__(self, key: int) -> bool:
+        at = int(self.values.searchsorted(key))
+        return at < len(self.values) and int(self.values[at]) == key
 
 
 def host(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def branches(blocks: list[Block]) -> tuple[dict[int, int], dict[int, int]]:
-    """The page's part of the tree: the node of each content, and the layout of each node, which is the styles of its blocks in order."""
-    contents: dict[int, int] = {}
+#: Rows of a tree: of the pages themselves, of a content of a node, of a node's layout, of all that a page shows at a path.
+PAGE, CONTENT, LAYOUT, FILLED = range(4)
+
+
+def branches(blocks: list[Block], site: str) -> list[tuple[int, int | None, int | None, int]]:
+    """The page's part of the tree: ``(kind, node, path, value)``. A node's layout is the styles of its blocks in order."""
+    contents: dict[int, tuple[int, int]] = {}
     layouts: dict[int, list[str]] = {}
+    filled: dict[int, list[int]] = {}
     for b in blocks:
         parent, _, style = b.path.rpartition("/")
-        node = digest(parent)
-        contents[b.key()] = node
+        node, path, key = digest(parent), digest(b.path), b.key(site)
+        contents[key] = node, path
         layouts.setdefault(node, []).append(style)
-    return contents, {node: digest("\n".join(styles)) for node, styles in layouts.items()}
+        filled.setdefault(path, []).append(key)
+    rows: list[tuple[int, int | None, int | None, int]] = [(CONTENT, node, path, key) for key, (node, path) in contents.items()]
+    rows += [(LAYOUT, node, None, digest("\n".join(styles))) for node, styles in layouts.items()]
+    return rows + [(FILLED, None, path, digest(" ".join(map(str, keys)))) for path, keys in filled.items()]
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """The merged trees of all hosts: ``(site, node, content, layout, shown)``, with the number of distinct pages that show it.
-
-    A row tells of a content of a node, or of a layout of a node, or, where node is null as well, of the pages themselves.
-    """
+    """The merged trees of all hosts: ``(site, kind, node, path, value, shown)``, with the number of distinct pages that show it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for site, page in zip(batch.column("site").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                contents, layouts = branches(candidates(parse(page or "")))
-                whole = digest(" ".join(map(str, sorted(contents))))
-                rows.append((site, None, None, None, whole))
-                rows += [(site, node, content, None, whole) for content, node in contents.items()]
-                rows += [(site, node, None, layout, whole) for node, layout in layouts.items()]
-            columns = zip(*rows, strict=True) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(columns)], ["site", "node", "content", "layout", "page"])
+                part = branches(parse(page or "")[0], site)
+                whole = digest(" ".join(sorted(str(r[3]) for r in part if r[0] == CONTENT)))
+                rows.append((site, PAGE, None, None, 0, whole))
+                rows += [(site, *r, whole) for r in part]
+            columns = zip(*rows, strict=True) if rows else [()] * 6
+            kinds = [pa.string(), pa.int32()] + [pa.int64()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["site", "kind", "node", "path", "value", "page"])
 
-    seen = pages.select("site", "html").mapInArrow(run, "site string, node long, content long, layout long, page long").distinct()
-    return seen.groupBy("site", "node", "content", "layout").agg(F.count("*").alias("shown"))
+    seen = pages.select("site", "html").mapInArrow(run, "site string, kind int, node long, path long, value long, page long").distinct()
+    return seen.groupBy("site", "kind", "node", "path", "value").agg(F.count("*").alias("shown"))
 
 
 def noise_of(pages: DataFrame, bound: float = IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``(site, content)``: the contents of low importance of each host that has any."""
+    """``(content, most)``: the contents of low importance of each host that has any, and whether over half of its pages show it."""
     tree = checkpointed(style_tree(pages))
-    counts = tree.where("node IS NULL").select("site", F.col("shown").alias("pages")).where(F.col("pages") >= least_pages)
-    often = tree.where(F.col("content").isNotNull() & (F.col("shown") >= least_pages)).select("site", "node", "content", "shown")
-    often = often.join(bounded(counts), "site").where(F.col("shown") * 2 > F.col("pages"))
-    # Entropy of a node's layouts, in logarithms of the pages that have it.
+    counts = tree.where(F.col("kind") == PAGE).select("site", F.col("shown").alias("pages")).where(F.col("pages") >= least_pages)
+    often = tree.where((F.col("kind") == CONTENT) & (F.col("shown") > 1)).select("site", "node", "path", F.col("value").alias("content"), "shown")
+    often = often.join(bounded(counts), "site")
+    # Entropy of a node's layouts, and of what pages show at a path, in logarithms of the pages that have it.
     m, x = F.sum("shown"), F.sum(F.col("shown") * F.log("shown"))
-    presented = tree.where("layout IS NOT NULL").groupBy("site", "node").agg(F.when(m > 1, (F.log(m) - x / m) / F.log(m)).otherwise(1.0).alias("presentation"))
+    entropy = F.when(m > 1, (F.log(m) - x / m) / F.log(m)).otherwise(1.0)
+    presented = tree.where(F.col("kind") == LAYOUT).groupBy("site", "node").agg(entropy.alias("presentation"))
+    filled = tree.where(F.col("kind") == FILLED).groupBy("site", "path").agg(entropy.alias("filled"), m.alias("having")).where(F.col("having") >= least_pages)
     shared = 1 - F.log("shown") / F.log("pages")
-    return often.join(presented, ["site", "node"]).where((1 - DECAY) * F.col("presentation") + DECAY * shared < bound).select("site", "content")
+    weighed = lambda content: (1 - DECAY) * F.col("presentation") + DECAY * content < bound
+    low = (F.col("shown") >= least_pages) & weighed(shared)
+    alike = F.coalesce(weighed(F.col("filled")), F.lit(False))
+    found = often.join(presented, ["site", "node"]).join(filled, ["site", "path"], "left").where((low | alike) & (F.col("shown") * 2 > F.col("pages")))
+    return found.select("content", (F.col("shown") * 2 > F.col("pages")).alias("most"))
 
 
-def extracted(pages: DataFrame) -> DataFrame:
+def extracted(pages: DataFrame, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
     """``pages`` (``page_id, url, html``) as ``page_id, url, text, n_chars``."""
     sited = pages.select("page_id", "url", "html").withColumn("site", host())
     found = checkpointed(noise_of(sited))
-    noise = found.groupBy("site").agg(F.collect_set("content").alias("noise"))
-    if found.count() <= BROADCAST_BLOCKS:
-        noise = F.broadcast(noise)
     kind = pages.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, url string, text string, n_chars long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def written(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    if found.count() <= broadcast_blocks:
+        rows = found.toArrow()
+        content, common = rows.column("content").to_numpy(), rows.column("most").to_numpy().astype(bool)
+        most, some = np.sort(content[common]), np.sort(content[~common])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            often, seldom = Sorted(most), Sorted(some)
+            for batch in batches:
+                yield written(batch, [main_text(page, site, often, seldom) for page, site in zip(batch.column("html").to_pylist(), batch.column("site").to_pylist(), strict=True)])
+
+        return sited.mapInArrow(run, schema)
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(same, key) for page, site, same in zip(*(batch.column(c).to_pylist() for c in ("html", "site", "same")), strict=True) for key in {b.key(site) for b in parse(page or "")[0]}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64()))], ["same", "content"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page, set(low or ())) for page, low in zip(batch.column("html").to_pylist(), batch.column("noise").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            columns = (batch.column(c).to_pylist() for c in ("html", "site", "often", "seldom"))
+            yield written(batch, [main_text(page, site, set(a or ()), set(b or ())) for page, site, a, b in zip(*columns, strict=True)])
 
-    return sited.join(noise, "site", "left").select("page_id", "url", "html", "noise").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    told = sited.withColumn("same", F.sha2(F.concat_ws("\n", "site", "html"), 256))
+    held = told.select("html", "site", "same").mapInArrow(shown, "same string, content long").distinct().join(found, "content")
+    sets = held.groupBy("same").agg(F.collect_list(F.when(F.col("most"), F.col("content"))).alias("often"), F.collect_list(F.when(~F.col("most"), F.col("content"))).alias("seldom"))
+    return told.join(sets, "same", "left").select("page_id", "url", "html", "site", "often", "seldom").mapInArrow(joined, schema)
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
