@@ -259,6 +259,7 @@ def test_pages(spark):
 
 
 KIND = "page_id long, url string, html string"
+NOTICE = "A notice of the whole host that is much longer than any of its stories and has no name at all."
 
 
 def texts_of(spark, bodies, **kwargs):
@@ -275,6 +276,20 @@ def test_pages_tree_before_names(spark, blocks):
         assert texts_of(spark, bodies, broadcast_blocks=blocks) == [f"Story {i} of one page." for _ in wraps for i in range(few)]
 
 
+@pytest.mark.parametrize("blocks", [1_000_000, 0])
+def test_pages_noise_by_importance_alone(spark, blocks):
+    story = "<section><p>Story number {} is told on this page alone.</p></section>"
+    n = 60
+    turned = [("a.example", f"<div class=x>Variant {'ABC'[i % 3]}</div>" + story.format(i)) for i in range(n)]
+    partly = [("b.example", ("<div class=x>Of a section</div>" if i % 5 < 2 else "") + story.format(i)) for i in range(n)]
+    longer = [("c.example", f"<div class=x>{NOTICE}</div><p>Story {i}</p>") for i in range(n)]
+    rare = [("d.example", f"<div class=x>{'Always' if i > 3 else f'Seldom {i // 2}'}</div>" + story.format(i)) for i in range(n)]
+    want = [f"Story number {i} is told on this page alone." for i in range(n)]
+    assert texts_of(spark, turned + partly + longer + rare, broadcast_blocks=blocks) == want * 2 + [f"Story {i}" for i in range(n)] + want
+    copies = [("e.example", f"<p>{NOTICE}</p><p>It is a story here.</p>")] * 9 + [("e.example", f"<p>Other {i}</p>") for i in range(9)]
+    assert texts_of(spark, copies, broadcast_blocks=blocks) == [f"{NOTICE}\nIt is a story here."] * 9 + [f"Other {i}" for i in range(9)]
+
+
 STAGES = [langid.keep_known, simhash.keep_one, suffixes.without_repeats, mixing.mixed]
 
 

@@ -5,13 +5,14 @@ All blocks of all pages are in it, whatever their names. A block's content impor
 over the host's pages, in logarithms of their number: 1 for what one page alone shows, 0 for what all pages show alike. A style
 node's presentation importance is the entropy of the styles of its children over the pages that have it: 0 where all pages lay it
 out alike. Both make up a block's importance (Yi, Liu and Li, 2003, whose weight of a level is ``DECAY``). Blocks of low importance
-that over half of the host's pages show are noise and go from each page.
+are noise and go from each page, and so does what recurs in a branch that pages fill alike; what one page alone shows stays.
 
 Names decide on what the tree leaves. Elements and roles (nav, footer, aside ...) and hidden parts are believed. A class or id, or
 a form, is not believed where it holds over half of the text that the tree leaves to the page (a wrapper named ``no-sidebar`` or
 ``legal`` is the page), and one that names comments only where it holds all of it. Where a page marks its article or main part, only
-that counts.
-A page that would lose most of its text to its host's other pages is a copy of them rather than noise, and keeps it.
+that counts. Two bounds keep a page from being taken for noise: a marked article that would lose over half of its text to
+the tree keeps it, and so does any page whose text would go by half to blocks that no more than half of the host's pages show: it is
+one of a group of copies. What over half of a host's pages show goes from an unmarked page however long it is.
 
 Blocks and layouts are counted once per distinct page, told by the digest of all its blocks; counts are aggregated by host, node
 and content before anything meets, so that a host with a third of all pages is no single task's work. Up to a million noise blocks of
@@ -60,7 +61,7 @@ COMMENT_WORDS = set("comment comments commentlist discussion disqus replies repl
 ARTICLE_WORDS = set("article post entry content main story".split())
 LAYOUT_WORDS = set("no has with without".split())
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
-#: A block is noise if its importance is below the bound and over half of at least LEAST_PAGES distinct pages show it.
+#: A block is noise if its importance is below the bound and at least LEAST_PAGES distinct pages show it.
 IMPORTANCE, LEAST_PAGES = 0.5, 4
 #: Weight of content against presentation in a block's importance.
 DECAY = 0.9
@@ -228,10 +229,14 @@ def main_text(page: str | None, site: str, most: Sorted | set[int], some: Sorted
     blocks, comments = parse(page or "")
     if most or some:
         key = {b: b.key(site) for b in blocks}
-        whole = candidates(blocks, comments)
-        kept = candidates([b for b in blocks if key[b] not in most and key[b] not in some], comments)
-        if 2 * size(kept) < size(whole):
-            kept = whole
+        rest = [b for b in blocks if key[b] not in most]
+        own = [b for b in rest if key[b] not in some]
+        if 2 * size(candidates(own, comments)) < size(candidates(rest, comments)):
+            own = rest
+        marked = [b for b in candidates(blocks, comments) if b.article]
+        kept = candidates(own, comments)
+        if 2 * size([b for b in kept if b.article]) < size(marked):
+            kept = marked
     else:
         kept = candidates(blocks, comments)
     return "\n".join(b.text for b in kept)
@@ -309,7 +314,7 @@ def noise_of(pages: DataFrame, bound: float = IMPORTANCE, least_pages: int = LEA
     weighed = lambda content: (1 - DECAY) * F.col("presentation") + DECAY * content < bound
     low = (F.col("shown") >= least_pages) & weighed(shared)
     alike = F.coalesce(weighed(F.col("filled")), F.lit(False))
-    found = often.join(presented, ["site", "node"]).join(filled, ["site", "path"], "left").where((low | alike) & (F.col("shown") * 2 > F.col("pages")))
+    found = often.join(presented, ["site", "node"]).join(filled, ["site", "path"], "left").where(low | alike)
     return found.select("content", (F.col("shown") * 2 > F.col("pages")).alias("most"))
 
 
