@@ -1,5 +1,7 @@
 """Queries against DuckDB over the smallest table set."""
 
+import collections
+import hashlib
 import math
 from pathlib import Path
 
@@ -39,3 +41,37 @@ def test_entry_without_the_corpus_operators():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_all_blueprints(spark):
+    from touchline.plans import queries
+
+    counted, candles = collections.Counter(), collections.defaultdict(set)
+    trades = queries.enriched(spark, SF).withColumn("t", queries.t("entry_time")).toPandas().to_dict("records")
+    for x in trades:
+        for level in ("sma", "slow"):
+            for own, other in (("sl", "tp"), ("tp", "sl")):
+                for kind, value, most in (("Pct", x[f"{own}_place_pct_to_{level}"] * 10, 20), ("BPS", x[f"{own}_dist_to_{level}_bps"] / 5, 10)):
+                    if math.isnan(value) or not -most <= math.floor(value) <= most:
+                        continue
+                    ends = {own: (level, float(math.floor(value) * (1 if kind == "Pct" else 5))), other: ("ratio", round(x[f"{other}_ratio"], 5))}
+                    blueprint = (x["instrument"], f"{own.upper()}-{kind}", *ends["sl"], *ends["tp"], x["trade_type"])
+                    counted[(*blueprint, x["t"])] += 1
+                    candles[blueprint].add(x["t"])
+    assert {b[1] for b in candles} == {"SL-Pct", "TP-Pct", "SL-BPS", "TP-BPS"}
+    got = QUERIES["blueprint_agg_all"](spark, SF).collect()
+    assert {tuple(r)[:-1]: r.trade_count for r in got} == dict(counted) and len(got) == len(counted)
+
+    def key(b):
+        return hashlib.sha256(f"{b[1]}-{b[2]}-{b[3]:.5f}-{b[4]}-{b[5]:.5f}-{b[6]}".encode()).hexdigest()[:16]
+
+    kept = {b: len(c) for b, c in candles.items() if len(c) >= 20}
+    names = ["instrument", "type", "sl_def", "sl_bin", "tp_def", "tp_bin", "trade_type"]
+    rows_ = QUERIES["combinations_all"](spark, SF).collect()
+    assert {tuple(r[n] for n in names): (r.key, r.num_candles) for r in rows_} == {b: (key(b), n) for b, n in kept.items()} and len(rows_) == len(kept)
+    want = collections.Counter()
+    for b, n in counted.items():
+        if b[:-1] in kept:
+            want[b[0], key(b), b[-1]] += n
+    assert {(r.instrument, r.key, r.t): r.trade_count for r in QUERIES["consolidate_all"](spark, SF).collect()} == dict(want)
+    assert any("Pct" in b[1] for b in kept)

@@ -667,8 +667,14 @@ counts AS MATERIALIZED (SELECT instrument, type, sl_def, sl_bin, tp_def, tp_bin,
 catalogue AS (SELECT instrument, key, type, sl_def, sl_bin, tp_def, tp_bin, trade_type, count(DISTINCT t) AS num_candles FROM counts GROUP BY ALL HAVING count(DISTINCT t) >= 20)"""
 
 
+def all_counts(spark, sf):
+    """Blueprints of all four types."""
+    return P.count_blueprints(enriched(spark, sf), ["sma", "slow"])
+
+
 def counts(spark, sf):
-    return P.count_blueprints(enriched(spark, sf), ["sma", "slow"]).where("type LIKE '%BPS'")
+    """The two types that SQL tells too: those by pips. Queries named ``_all`` have all four."""
+    return all_counts(spark, sf).where("type LIKE '%BPS'")
 
 
 def catalogue(spark, sf):
@@ -680,6 +686,11 @@ def _blueprint_agg(spark, sf):
     return counts(spark, sf).select("instrument", "type", "sl_def", "sl_bin", "tp_def", "tp_bin", "trade_type", t("entry_time"), "trade_count")
 
 
+@query("blueprint_agg_all")
+def _blueprint_agg_all(spark, sf):
+    return all_counts(spark, sf).select("instrument", "type", "sl_def", "sl_bin", "tp_def", "tp_bin", "trade_type", t("entry_time"), "trade_count")
+
+
 @query("blueprint_agg_pct")
 def _blueprint_pct(spark, sf):
     return P.count_blueprints(enriched(spark, sf), ["sma", "slow"]).where("type LIKE '%Pct'").groupBy("instrument", "type", "trade_type").agg(F.count("*").alias("n"), F.sum("trade_count").alias("trades"))
@@ -705,6 +716,17 @@ def _combinations(spark, sf):
     return catalogue(spark, sf)
 
 
+@query("consolidate_all")
+def _consolidate_all(spark, sf):
+    found = all_counts(spark, sf)
+    return P.targets(found, P.combinations(found, 20)).select("instrument", "key", t("entry_time"), "trade_count")
+
+
+@query("combinations_all")
+def _combinations_all(spark, sf):
+    return P.combinations(all_counts(spark, sf), 20)
+
+
 # ---- Rules --------------------------------------------------------------------------------------------------------------
 
 STATE = """cat AS (SELECT 'k' || p_partkey AS key, p_size::BIGINT * 5 AS num_candles FROM part), done AS (SELECT 'k' || p_partkey AS key FROM part WHERE p_partkey % 4 = 0), tired AS (SELECT 'k' || p_partkey AS key FROM part WHERE p_partkey % 6 = 0), bad AS (SELECT 'k' || p_partkey AS key, 'r' || (p_partkey % 5) AS market_rule FROM part WHERE p_partkey % 5 < 2)"""
