@@ -246,6 +246,12 @@ def test_toxicity(spark):
     assert toxicity.forward_backward(gain, np.array([3]), t)[2] == pytest.approx(want)
 
 
+def test_toxic_offsets_where_lower_case_is_longer():
+    model = toxicity.ToxicityModel({"awful": 0, "i\u0307vile": 1}, np.array([12.0, 12.0, -6.0]), np.zeros((2, 2)))
+    texts = ["\u0130 ab AWFUL ef", "ab \u0130VILE awful", "ab AWFUL ef"]
+    assert model.scores(texts)[1] == [[(5, 10)], [(3, 14)], [(3, 8)]]
+
+
 PAGE = "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a href=/>Home</a></nav><div id='cookie-notice'>We use cookies</div>{0}<article><h1>Head &amp; tail</h1><p>One <b>two<br>three</p><p>{1}<div class=comments><p>First!</p></div></article><div class=x>Site words</div><footer>F</footer></body></html>"
 
 

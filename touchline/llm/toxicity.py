@@ -32,8 +32,15 @@ TOKEN = re.compile(r"\w+")
 SAMPLE, VOCABULARY = 3000, 20_000
 
 
+def lowered(text: str) -> str | None:
+    """The text in lower case, if that keeps its offsets (a capital dotted I becomes two characters)."""
+    low = text.lower()
+    return low if len(low) == len(text) else None
+
+
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    low = lowered(text)
+    return TOKEN.findall(low) if low is not None else [w.lower() for w in TOKEN.findall(text)]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -145,17 +152,15 @@ class ToxicityModel:
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
         at = np.concatenate(([0], np.cumsum(sizes)))
         for k in np.unique(np.searchsorted(at, np.flatnonzero(p >= 0.5), side="right") - 1).tolist():
-            lowered = texts[k].lower()
-            same = len(lowered) == len(texts[k])
-            places = [m.span() for m in TOKEN.finditer(lowered)] if same else []
+            low = lowered(texts[k])
+            places = [m.span() for m in TOKEN.finditer(texts[k] if low is None else low)]
             before = -2
             for i in np.flatnonzero(p[at[k] : at[k + 1]] >= 0.5).tolist():
-                if same:
-                    if i == before + 1:
-                        spans[k][-1] = (spans[k][-1][0], places[i][1])
-                    else:
-                        spans[k].append(places[i])
-                    before = i
+                if i == before + 1:
+                    spans[k][-1] = (spans[k][-1][0], places[i][1])
+                else:
+                    spans[k].append(places[i])
+                before = i
         return score, spans
 
 
