@@ -296,6 +296,16 @@ def test_pages_noise_by_importance_alone(spark, blocks):
     assert texts_of(spark, copies, broadcast_blocks=blocks) == [f"{NOTICE}\nIt is a story here."] * 9 + [f"Other {i}" for i in range(9)]
 
 
+def test_keep_one_of_each_component(spark):
+    words = [" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma", "delta")]
+    rows = [(1, words[0], "x"), (1, words[1], "x"), (2, words[1], "x"), (0, words[1], "y"), (None, words[0], "x"), (None, words[2], "x"), (None, words[2], "x"), (None, words[2], "x"), (5, words[3], "b"), (5, words[3], "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    near = {(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()}
+    assert near == {(1, words[0]), (0, words[1]), (None, words[2]), (5, words[3])}
+    want = sorted(map(str, simhash.keep_one(docs).collect()))
+    assert len(want) == 4 and sorted(map(str, simhash.keep_one(docs.repartition(3).orderBy(F.desc("source"))).collect())) == want
+
+
 STAGES = [langid.keep_known, simhash.keep_one, suffixes.without_repeats, mixing.mixed]
 
 

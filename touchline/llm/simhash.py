@@ -165,10 +165,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id, and one of its repeated rows.
+    """``docs`` with one row of each group of near-duplicates: the smallest doc_id, of its rows the smallest hash of text and then of row.
 
-    Rows without a doc_id can't be told apart by it; they are all kept.
+    Rows without a doc_id come after all others of their group.
     """
-    found = near_duplicates(docs, radius=radius).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    told = [*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"`{c}`").isNull() for c in docs.columns)]
+    hashed = docs.withColumns({"__a": F.xxhash64(*told), "__b": F.xxhash64(F.lit(1), *told)})
+    rows = fingerprints(hashed.select("doc_id", "text", "__a", "__b", F.xxhash64("text").alias("__text")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__text", "__a", "__b"))
+    distinct = checkpointed(rows.groupBy("simhash").agg(first.alias("first")))
+    roots = components(links(distinct.select("simhash"), radius))
+    classes = distinct.join(roots, distinct.simhash == roots.node, "left").select("first", F.coalesce("root", "simhash").alias("root"))
+    found = classes.groupBy("root").agg(F.min("first").alias("first")).select("first.__a", "first.__b")
+    return hashed.join(found, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]).select(docs.columns)
