@@ -57,20 +57,74 @@ def test_salts_leave_two_places():
     assert (got > 0).tolist() == [False, False, False, True, False, False, False]
 
 
-def test_cut_characters_go(spark):
-    common_ = "x" * 500
-    # The repeat starts with the last byte of a character, which both texts share; what is left of it goes.
-    docs = spark.createDataFrame([(1, "aé" + common_ + "b", "fr", "s", 503), (2, "cĩ" + common_ + "d", "fr", "s", 503), (3, None, None, None, None)], DOC)
-    got = {r.doc_id: (r.text, r.n_chars) for r in suffixes.without_repeats(docs).collect()}
-    assert got == {1: ("ab", 2), 2: ("cd", 2), 3: (None, None)}
-
-
-def test_lost_texts_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "bounded", lambda df: df)
-    common_ = "".join(random.Random(9).choice("abcdefgh") for _ in range(450))
-    docs = spark.createDataFrame([(i, chr(65 + i) + common_ * (i % 2), "en", "s", 0) for i in range(20)] + [(30, "same " * 100, "en", "s", 500)] * 2, DOC)
-    got = sorted((r.doc_id, r.text, r.n_chars) for r in suffixes.without_repeats(docs).collect())
-    assert got == [(i, chr(65 + i), i % 2) for i in range(20)] + [(30, "", 0)] * 2
+@pytest.mark.parametrize("block", [1, 7, 1 << 16])
+def test_bwt_streams(block):
+    rnd = random.Random(block)
+    texts = [[rnd.randint(0, 3) for _ in range(rnd.randint(1, 30))] for _ in range(25)]
+    texts += texts[:4] + [[1] * 40, [1] * 33]
+    rounds = max(map(len, texts))
+    alive = [np.array([d for d, t in enumerate(texts) if len(t) > j]) for j in range(rounds)]
+    columns = [np.array([texts[d][len(texts[d]) - 1 - j] for d in alive[j]]) for j in range(rounds)]
+    names, common = suffixes.build(columns, alive, block)
+    assert sorted(names[: len(texts)]) == list(range(-len(texts), 0))
+    found = [tuple(texts[n % len(texts)][-1 - n // len(texts) :]) for n in names[len(texts) :].tolist()]
+    assert found == sorted(found) and len(found) == sum(map(len, texts))
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert common[len(texts) + 1 :].tolist() == [shared(a, b) for a, b in zip(found, found[1:])]
+
+
+def test_long_windows(spark):
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared = text(3000)
+    df = spark.createDataFrame([(1, f"{text(50)}1{shared}2{text(9)}"), (2, f"3{shared}4{text(70)}"), (3, text(4000))], "doc_id long, text string")
+    for length in (2048, 2056, 2400):
+        assert {r.doc_id: r.n for r in suffixes.strip_repeats(df, length=length).select("doc_id", suffixes.removed(F.col("spans")).alias("n")).collect()} == {1: 3000, 2: 3000, 3: 0}
+
+
+def brute_passages(texts, length):
+    """Each text without the words of passages that start elsewhere too, and the white space after them."""
+    words = [t.split() for t in texts]
+    seen = collections.Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    for t, w in zip(texts, words, strict=True):
+        gone = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i : i + length])] > 1:
+                gone[i : i + length] = [True] * length
+        if not any(gone):
+            yield t
+            continue
+        places = [m.start() for m in suffixes.WORD.finditer(t)] + [len(t)]
+        yield t[: places[0]] + "".join(t[places[k] : places[k + 1]] for k in range(len(w)) if not gone[k])
+
+
+@pytest.mark.parametrize(("length", "gram", "crowd", "salt_after"), [(12, 4, 20_000, 16), (9, 8, 20_000, 0), (12, 4, 3, 16), (20, 4, 3, 0)])
+def test_passages_against_brute_force(spark, length, gram, crowd, salt_after):
+    rnd = random.Random(length)
+    words = lambda n: " ".join(rnd.choice(["de", "la", "Été", "b", "c,", "d\n", "\U0001f600"]) + rnd.choice(["", "x", "yy"]) for _ in range(n))
+    shared = [words(rnd.randint(8, 60)) for _ in range(5)]
+    texts = ["  " + words(rnd.randint(0, 20)) + "\n" + "  ".join(rnd.choice(shared) + " " + words(rnd.randint(0, 9)) for _ in range(rnd.randint(0, 3))) for _ in range(40)]
+    texts += [" ".join(["same"] * 70), "", "few words", "few words", *[texts[3]] * 3, texts[4].replace(" ", "  "), *[shared[0]] * 8]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans_ = {r["__key"]: r.spans for r in suffixes.passages(df, "text", length, gram, crowd, salt_after).collect()}
+    got = [suffixes.without_words(t, [(s.start, s.stop) for s in spans_.get(hashlib.sha256(t.encode()).digest()[:16], [])]) for t in texts]
+    assert got == list(brute_passages(texts, length))
+
+
+@pytest.mark.parametrize("values", [4_000_000, 0])
+def test_repeated_passages_go(spark, monkeypatch, values):
+    """By broadcast and by shuffle: passages of 50 words go whole, shorter ones stay, and other columns are as they were."""
+    plain = suffixes.bounded
+    monkeypatch.setattr(suffixes, "bounded", lambda df, weight=None: plain(df, values, weight))
+    rnd = random.Random(9)
+    words = lambda n: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n))
+    long_, short, copy = words(50), words(49), words(60)
+    rows = [(i, f"{words(30)} {long_ if i % 2 else short} {words(5)}", "en", None, 0) for i in range(12)] + [(None, copy, None, "s", 7)] * 2 + [(50, None, "en", "s", None), (51, "", None, None, 0)]
+    docs = spark.createDataFrame(rows, DOC).withColumn("spans", F.lit("x")).withColumn("__new", F.col("doc_id"))
+    got = sorted(map(tuple, suffixes.without_repeats(docs).collect()), key=str)
+    cut = lambda t: t.replace(long_ + " ", "")
+    want = [(i, cut(t), lang, s, len(cut(t)), "x", i) if t and long_ in t else (i, "", lang, s, 0, "x", i) if t == copy else (i, t, lang, s, n, "x", i) for i, t, lang, s, n in rows]
+    assert got == sorted(want, key=str)
 
 
 def brute_simhash(text):

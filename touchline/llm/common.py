@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Training-data scans cut batches into blocks of about so many bytes of text, which bounds a worker's NumPy arrays.
@@ -18,20 +18,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the cluster's shared checkpoint folder; lost executors then cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all machines share. A session on one machine that has none gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return folder or tempfile.mkdtemp(prefix="checkpoints-")
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where none is set, as in local tests, a temporary one is made.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the cluster's shared checkpoint folder; lost executors then cost no recomputation."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows (of a few numbers each), else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def bounded(df: DataFrame, values: int = 4_000_000, weight: Column | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it holds at most ``values`` values of 8 or 16 bytes, else as it is, for a shuffled join.
+
+    ``weight``: values of a row, where that is not the number of its columns. ``df`` is read twice: it should be a checkpoint or small.
+    """
+    total = df.agg(F.sum(weight).alias("n")).first()[0] if weight is not None else df.count() * len(df.columns)
+    return F.broadcast(df) if (total or 0) <= values else df
 
 
 def texts_of(column: pa.Array) -> list[str]:

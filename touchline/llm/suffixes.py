@@ -9,27 +9,34 @@ document included. The work is split so that no task needs the whole collection:
    on the window's content alone, so equal windows have equal anchors at equal distances. Only anchors whose gram occurs
    twice go on; all others can't hold a repeat.
 3. The stretch of text covered by an anchor's windows is a short document. Documents of the same gram meet in one task,
-   as columns of 8-byte symbols counted from the anchor. The collection's suffixes are then built from the right: each
-   round puts one symbol in front of every document, finds by rank the places of the new suffixes, and merges them, their
-   BWT links and their common-prefix lengths into the streams of the round before, which are read from one sequential
-   scratch file and written to another (Bauer, Cox and Rosone, 2013; Cox, Garofalo, Rosone and Sciortino, 2016).
+   as columns of 8-byte symbols counted from the anchor. The collection's BWT is then built from the right: each round puts
+   one symbol in front of every document, that is, into the BWT at the place of the document's newest suffix; the new suffix
+   belongs where the symbol's rank in the BWT says, and it and its common prefixes are merged into the streams of the round
+   before, which are read and written block by block as sequential scratch files (Bauer, Cox and Rosone, 2013; Cox,
+   Garofalo, Rosone and Sciortino, 2016).
 4. Runs of suffixes with a common prefix of ``length`` bytes are repeats. Windows that start inside a symbol compare the
    few bytes before it too.
 
+A text may also be a row of words: each word is an 8-byte symbol of its own (a hash), and all lengths count words
+(``unit="words"``). Windows then start at words alone, and a passage of so many words is found however long its words are.
+
 A task that meets a gram often deals its places over salted parts, so that they are counted in many tasks.
 An anchor with more than ``group_rows`` places (a passage that a third of all documents share) is not gathered in one
 task: its windows are dealt into pieces of a few neighbours, equal pieces are counted before the shuffle, and distinct ones are
 compared window by window, by digest.
 
 Nulls: a null text is an empty text. Texts shorter than ``length`` lose nothing. Repeated rows are copies of each other.
-The scratch files have no name, belong to one task, and go with it: a lost executor costs a rerun of its tasks.
+The scratch files lie where Spark itself spills (SPARK_LOCAL_DIRS), have no name, belong to one task, and go with it: a lost
+executor costs a rerun of its tasks, and no other task ever reads them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +46,23 @@ from pyspark.sql import functions as F
 from touchline.llm.common import bounded, checkpointed, read
 
 LENGTH, GRAM = 400, 64
+#: The same in words, for passages.
+WORDS, WORD_GRAM = 50, 8
 #: Places of one gram that a task takes as they are; short documents in one collection; window starts handled at a time.
 GROUP_ROWS, COLLECTION, CHUNK = 20_000, 20_000, 1 << 19
 #: Neighbouring windows that travel together where a gram is crowded.
 PIECE = 16
 #: Places of one gram that a task sends to where all of that gram meet, before it deals the rest over SALTS - 1 other parts.
 SALT_AFTER, SALTS = 16, 64
+#: Records of a stream that are read and written at a time, and words that a worker remembers the symbols of.
+BLOCK_RECORDS, CACHED_WORDS = 1 << 16, 800_000
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def anchors_of(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """For each run of windows with the same anchor: the gram's hash, its position, the first and the last window start.
 
-    ``data``: texts end to end, up to 2**20 bytes; ``ends``: for each position the end of its text. Windows stay inside texts.
+    ``data``: texts end to end, up to 2**20 bytes (or words); ``ends``: for each position the end of its text. Windows stay inside texts.
     """
     none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
     n = len(data) - length + 1
@@ -79,13 +91,16 @@ def anchors_of(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tu
     return h[at[first]], at[first], first, last
 
 
-def anchor_rows(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Arrays ``(text number, hash, anchor, first, last)``, positions in their text; long texts are cut into overlapping parts."""
-    parts: list[tuple[int, int, bytes]] = []
+def anchor_rows(texts: list[bytes], length: int, gram: int, width: int = 1) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays ``(text number, hash, anchor, first, last)``, positions in their text; long texts are cut into overlapping parts.
+
+    ``width``: bytes of an element; lengths and positions count elements.
+    """
+    parts: list[tuple[int, int, np.ndarray]] = []
     total = 0
     for k, text in enumerate(texts):
-        for s in range(0, max(0, len(text) - length + 1), CHUNK):
-            piece = text[s : s + CHUNK + length - 1]
+        for s in range(0, max(0, len(text) // width - length + 1), CHUNK):
+            piece = np.frombuffer(text, f"<u{width}")[s : s + CHUNK + length - 1]
             if total + len(piece) > (1 << 20) - 1:
                 yield from _anchors(parts, length, gram)
                 parts, total = [], 0
@@ -119,131 +134,152 @@ class Salter:
         return out
 
 
-def _anchors(parts: list[tuple[int, int, bytes]], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _anchors(parts: list[tuple[int, int, np.ndarray]], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
     sizes = np.array([len(p) for _, _, p in parts])
     stops = np.cumsum(sizes)
-    h, at, first, last = anchors_of(np.frombuffer(b"".join(p for _, _, p in parts), np.uint8), np.repeat(stops, sizes), length, gram)
+    h, at, first, last = anchors_of(np.concatenate([p for _, _, p in parts]), np.repeat(stops, sizes), length, gram)
     part = np.searchsorted(stops, first, side="right")
     shift = np.array([s for _, s, _ in parts])[part] - (stops - sizes)[part]
     yield np.array([k for k, _, _ in parts])[part], h.view(np.int64), at + shift, first + shift, last + shift
 
 
-class Scratch:
-    """The streams of one round, in an unnamed sequential file of the task."""
-
-    def __init__(self) -> None:
-        self.files = [tempfile.TemporaryFile(), tempfile.TemporaryFile()]  # noqa: SIM115
-        self.now = 0
+class Streams:
+    """The records of a collection's suffixes, in order, as sequential scratch files of one task, one file for each field.
 
-    def write(self, *streams: np.ndarray) -> None:
-        self.now ^= 1
-        file = self.files[self.now]
-        file.seek(0)
-        file.truncate()
-        for x in streams:
-            x.tofile(file)
-        file.flush()
+    Fields: the symbol in front of the suffix (its BWT symbol, -1 where there is none yet), the symbols that it shares with the
+    suffix before it, and its name. Each round reads one set of files block by block and writes the other.
+    """
 
-    def read(self, n: int, *kinds: type) -> list[np.ndarray]:
-        self.files[self.now].seek(0)
-        return [np.fromfile(self.files[self.now], k, n) for k in kinds]
+    KINDS = (np.int32, np.uint16, np.int64)
+
+    def __init__(self, block: int) -> None:
+        folder = next(iter(filter(os.path.isdir, os.environ.get("SPARK_LOCAL_DIRS", "").split(","))), None)
+        self.sets = [[tempfile.TemporaryFile(dir=folder) for _ in self.KINDS] for _ in range(2)]
+        self.now, self.size, self.block = 0, 0, block
+
+    def read(self, fields: int = 3) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """Blocks of the first so many fields, each with the place of its first record."""
+        files = self.sets[self.now][:fields]
+        for f in files:
+            f.seek(0)
+        for start in range(0, self.size, self.block):
+            n = min(self.block, self.size - start)
+            yield start, [np.fromfile(f, kind, n) for f, kind in zip(files, self.KINDS, strict=False)]
+
+    def write(self, blocks: Iterable[list[np.ndarray]]) -> None:
+        files, size = self.sets[1 - self.now], 0
+        for f in files:
+            f.seek(0)
+        for block in blocks:
+            for f, kind, x in zip(files, self.KINDS, block, strict=True):
+                x.astype(kind, copy=False).tofile(f)
+            size += len(block[0])
+        for f in files:
+            f.flush()
+        self.now, self.size = 1 - self.now, size
 
     def close(self) -> None:
-        for f in self.files:
+        for f in [*self.sets[0], *self.sets[1]]:
             f.close()
 
 
 def range_minimum(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest of ``values[left:right]`` for each pair (left < right): tiles of 64 with running minima, a sparse table above."""
-    width = 64
-    tiles = np.full((-(-len(values) // width), width), 255, np.uint8)
-    tiles.ravel()[: len(values)] = values
-    before, after = np.minimum.accumulate(tiles, axis=1), np.minimum.accumulate(tiles[:, ::-1], axis=1)[:, ::-1]
-    a, b = left // width, (right - 1) // width
-    out = np.minimum(after.ravel()[left], before.ravel()[right - 1])
-    level, tables = before[:, -1], []
-    tables.append(level)
-    while len(level) > 1 << len(tables):
-        step = 1 << (len(tables) - 1)
-        tables.append(np.minimum(tables[-1][:-step], tables[-1][step:]))
-    inner = np.flatnonzero(b - a > 1)
-    if len(inner):
-        s, e = a[inner] + 1, b[inner]
-        depth = np.log2(e - s).astype(np.int64)
-        for d in np.unique(depth):
-            k = inner[depth == d]
-            lo, hi = a[k] + 1, b[k]
-            out[k] = np.minimum(out[k], np.minimum(tables[d][lo], tables[d][hi - (1 << d)]))
-    same = np.flatnonzero(a == b)
-    if len(same):
-        lo, hi = left[same], right[same]
-        small, step = values[lo].copy(), 1
-        while (open_ := lo + step < hi).any():
-            small[open_] = np.minimum(small[open_], values[lo[open_] + step])
-            step += 1
-        out[same] = small
+    """The smallest of ``values[left:right]`` for each pair (left < right), by a sparse table."""
+    out, depth = np.empty(len(left), values.dtype), np.log2(right - left).astype(np.int64)
+    table, step = values, 1
+    for d in range(int(depth.max(initial=-1)) + 1):
+        k = np.flatnonzero(depth == d)
+        out[k] = np.minimum(table[left[k]], table[right[k] - step])
+        table, step = np.minimum(table[:-step], table[step:]), step * 2
     return out
 
 
-def build(columns: list[np.ndarray], alive: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted suffixes of a collection, with common prefixes, built column by column from the right.
+def build(columns: list[np.ndarray], alive: list[np.ndarray], block: int = BLOCK_RECORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted suffixes of a collection, with common prefixes, by its BWT, built column by column from the right.
 
     ``columns[j]``: the symbol that document ``alive[j][i]`` puts in front in round j. Returns for each suffix, in order,
-    ``round * documents + document`` and the number of symbols it shares with the one before it (255 at most).
-    In the streams, ``head`` is a suffix's first symbol, ``tail`` the place of the rest of it: the inverse of the BWT's
-    last-to-first step. Places of a round's new suffixes follow by rank among (head, tail).
+    ``round * documents + document`` and the number of symbols it shares with the one before it. The documents' empty suffixes
+    come first, with names below zero. More than 65,534 rounds would not fit a common prefix and are refused.
     """
+    if len(columns) > 65_534:
+        raise ValueError("documents of more than 65,534 symbols")
     count = len(alive[0]) if alive else 0
-    scratch = Scratch()
+    symbols_ = 1 + max((int(c.max()) for c in columns if len(c)), default=0)
+    heads, place = np.zeros(symbols_, np.int64), np.arange(count)  # suffixes by first symbol; each document's newest suffix
+    streams = Streams(block)
     try:
-        place = np.arange(count)  # of each document's last suffix; the empty suffixes come first
-        heads, tails = np.full(count, -1, np.int32), np.full(count, -1, np.int32)
-        names, common = np.arange(-count, 0, dtype=np.int64), np.zeros(count, np.uint8)
-        scratch.write(heads, tails, names, common)
-        n = count
+        streams.write([[np.full(count, -1), np.zeros(count), np.arange(-count, 0)]])
         for j, (symbols, docs) in enumerate(zip(columns, alive, strict=True)):
-            heads, tails, names, common = scratch.read(n, np.int32, np.int32, np.int64, np.uint8)
-            order = np.lexsort((place[docs], symbols))
+            order = np.argsort(place[docs])
             docs, symbols = docs[order], symbols[order]
-            old = place[docs]
-            at = np.searchsorted((heads.astype(np.int64) << 32) + tails, (symbols.astype(np.int64) << 32) + old)
-            new = at + np.arange(len(docs))  # places in the merged order
-            moved = np.arange(n) + np.searchsorted(at, np.arange(n), side="right")
-            total = n + len(docs)
-            fresh = np.zeros(total, bool)
-            fresh[new] = True
-            merged_heads, merged_tails = np.empty(total, np.int32), np.empty(total, np.int32)
-            merged_names, merged_common = np.empty(total, np.int64), np.empty(total, np.uint8)
-            merged_heads[moved], merged_heads[new] = heads, symbols
-            merged_tails[moved], merged_tails[new] = tails, old  # still places of the old order
-            merged_names[moved], merged_names[new] = names, j * count + docs
-            merged_common[moved] = common
-            check = np.unique(np.concatenate((new, new + 1)))
-            check = check[(check > 0) & (check < total)]
-            equal = merged_heads[check] == merged_heads[check - 1]
-            equal &= merged_heads[check] >= 0
-            merged_common[new[new == 0]] = 0
-            merged_common[check[~equal]] = 0
-            pairs = check[equal]
-            if len(pairs):
-                merged_common[pairs] = np.minimum(range_minimum(common, merged_tails[pairs - 1].astype(np.int64) + 1, merged_tails[pairs].astype(np.int64) + 1), 254) + 1
-            full = merged_tails >= 0
-            merged_tails[full] = moved[merged_tails[full]]
-            place = moved[place]
-            place[docs] = new
-            scratch.write(merged_heads, merged_tails, merged_names, merged_common)
-            n = total
-        names, common = scratch.read(n, np.int32, np.int32, np.int64, np.uint8)[2:]
-        return names, common
+            at = place[docs]
+            wanted = np.zeros(symbols_ + 1, bool)  # the last stands for -1
+            wanted[symbols] = True
+
+            def filled(start: int, bwt: np.ndarray, at: np.ndarray = at, symbols: np.ndarray = symbols) -> np.ndarray:
+                lo, hi = np.searchsorted(at, (start, start + len(bwt)))
+                bwt[at[lo:hi] - start] = symbols[lo:hi]
+                return bwt
+
+            # First pass: where this round's symbols stand in the BWT, and the least common prefix since the place before.
+            found, least = [], 65_535
+            for start, (bwt, common) in streams.read(2):
+                hit = np.flatnonzero(wanted[filled(start, bwt)])
+                low = np.minimum.reduceat(np.append(common, np.uint16(65_535)), np.concatenate(([0], hit + 1)))
+                low[0] = min(int(low[0]), least)
+                least = int(low[-1])
+                found.append((bwt[hit], hit + start, low[:-1]))
+            symbol, stands, low = (np.concatenate(x) for x in zip(*found, strict=True))
+            fresh = np.zeros(len(stands), bool)
+            fresh[np.searchsorted(stands, at)] = True
+            # A symbol's k-th place in the BWT belongs to the k-th of the suffixes that start with it.
+            order = np.argsort(symbol, kind="stable")
+            symbol, stands, fresh = symbol[order], stands[order], fresh[order]
+            opens = np.concatenate(([True], symbol[1:] != symbol[:-1]))
+            rank = np.arange(len(symbol)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]
+            heads += np.bincount(symbols, minlength=symbols_)
+            new_place = count + (np.cumsum(heads) - heads)[symbol] + rank
+            shared = np.zeros(len(symbol), np.uint16)
+            pair = np.flatnonzero(~opens & (fresh | np.concatenate(([False], fresh[:-1]))))
+            shared[pair] = range_minimum(low, order[pair - 1] + 1, order[pair] + 1) + np.uint16(1)
+            changed = pair[~fresh[pair]]
+            changed_at, changed_to = new_place[changed], shared[changed]
+            docs = docs[np.searchsorted(at, stands[fresh])]
+            new_place, shared = new_place[fresh], shared[fresh]
+            place[docs] = new_place
+            before = new_place - np.arange(len(new_place))  # the old record that each new one precedes
+            fields = [np.full(len(docs), -1, np.int32), shared, j * count + docs]
+
+            def merged() -> Iterator[list[np.ndarray]]:
+                """Second pass: the old records with the new ones in their places."""
+                for start, old in streams.read():
+                    old[0] = filled(start, old[0])
+                    end = start + len(old[0])
+                    lo, hi = np.searchsorted(before, (start, end if end < streams.size else end + 1))
+                    first, total = start + lo, len(old[0]) + hi - lo
+                    own = np.ones(total, bool)
+                    own[new_place[lo:hi] - first] = False
+                    out = [np.empty(total, x.dtype) for x in old]
+                    for o, x, f in zip(out, old, fields, strict=True):
+                        o[own], o[~own] = x, f[lo:hi]
+                    s, e = np.searchsorted(changed_at, (first, first + total))
+                    out[1][changed_at[s:e] - first] = changed_to[s:e]
+                    yield out
+
+            streams.write(merged())
+        blocks_ = [x for _, x in streams.read()]
+        return (np.concatenate([x[2] for x in blocks_]), np.concatenate([x[1] for x in blocks_])) if blocks_ else (np.zeros(0, np.int64), np.zeros(0, np.uint16))
     finally:
-        scratch.close()
+        streams.close()
 
 
-def repeated(segments: list[bytes], first: np.ndarray, copies: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
+def repeated(segments: list[bytes], first: np.ndarray, copies: np.ndarray, length: int, width: int = 1) -> Iterator[tuple[int, int, int]]:
     """Runs ``(segment, from, to)`` of window starts, relative to the anchor, whose window starts elsewhere in the collection.
 
-    ``first``: where each segment starts relative to its anchor; ``copies``: how many places it stands for.
+    ``first``: where each segment starts relative to its anchor; ``copies``: how many places it stands for; ``width``: bytes of an
+    element, 1 or 8.
     """
+    first, length = first * width, length * width
     count, sizes = len(segments), np.fromiter(map(len, segments), np.int64, len(segments))
     grid = first // 8  # symbols lie on multiples of 8 from the anchor
     blocks_ = -(-(first + sizes) // 8) - grid
@@ -258,9 +294,7 @@ def repeated(segments: list[bytes], first: np.ndarray, copies: np.ndarray, lengt
     rounds = int(blocks_.max())
     alive = [np.flatnonzero(blocks_ > j) for j in range(rounds)]
     names, common = build([ranks[d, blocks_[d] - 1 - j] for j, d in enumerate(alive)], alive)
-    keep = names >= 0
-    last = np.flatnonzero(~keep)[-1] if not keep.all() else -1
-    names, common = names[last + 1 :], common[last + 1 :].astype(np.int64)
+    names, common = names[count:], common[count:].astype(np.int64)
     common[0] = 0
     doc, block = names % count, blocks_[names % count] - 1 - names // count
     whole = length // 8
@@ -274,9 +308,9 @@ def repeated(segments: list[bytes], first: np.ndarray, copies: np.ndarray, lengt
         shared[close] += np.where(differ.any(1), differ.argmax(1), 8)
     start = block * 8 - lead[doc]  # of the suffix, in its segment
     left = sizes[doc] - start
-    marks = np.zeros((count, int((sizes - length).max()) + 1), bool)
+    marks = np.zeros((count, int((sizes - length).max()) // width + 1), bool)
     near = np.append(shared[1:] >= length - 7, False) | (shared >= length - 7)
-    for e in range(8):
+    for e in range(0, 8, width):
         group = np.cumsum(shared < length - e)
         ok = np.flatnonzero(((copies[doc] > 1) | near) & (left >= length - e) & (start >= e))
         if not len(ok):
@@ -289,11 +323,11 @@ def repeated(segments: list[bytes], first: np.ndarray, copies: np.ndarray, lengt
         new = np.concatenate(([True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])))
         members = np.cumsum(new) - 1
         many = np.bincount(members, weights=copies[doc[o]])[members] > 1
-        marks[doc[o[many]], start[o[many]] - e] = True
+        marks[doc[o[many]], (start[o[many]] - e) // width] = True
     for k in np.flatnonzero(marks.any(1)):
         edges = np.flatnonzero(np.diff(np.concatenate(([0], marks[k].view(np.int8), [0]))))
         for s, t in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            yield int(k), int(first[k]) + s, int(first[k]) + t - 1
+            yield int(k), int(first[k]) // width + s, int(first[k]) // width + t - 1
 
 
 def with_key(docs: DataFrame, text: str) -> DataFrame:
@@ -302,18 +336,19 @@ def with_key(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("__raw", raw).withColumn("__key", F.substring(F.unhex(F.sha2("__raw", 256)), 1, 16))
 
 
-def repeats(rows: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS, salt_after: int = SALT_AFTER) -> DataFrame:
+def repeats(rows: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS, salt_after: int = SALT_AFTER, width: int = 1) -> DataFrame:
     """``(key, runs)`` for each distinct text that has repeated windows.
 
-    ``rows``: ``__key`` and ``__raw`` of all texts, read where they lie to find anchors; ``texts``: ``key``, ``raw``,
-    ``copies``, keys distinct. runs: arrays of (from, to) of repeated window starts in the text; neighbours may touch.
+    ``rows``: ``__key`` and ``__raw`` of all texts, read where they lie to find anchors; ``texts``: ``key``, ``raw``, keys distinct.
+    runs: arrays of (from, to) of repeated window starts in the text; neighbours may touch. Lengths and positions count
+    elements of ``width`` bytes.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salter = Salter(salt_after)
         for batch in batches:
             keys = batch.column("__key")
-            for k, h, at, first, last in anchor_rows(batch.column("__raw").to_pylist(), length, gram):
+            for k, h, at, first, last in anchor_rows(batch.column("__raw").to_pylist(), length, gram, width):
                 salt = pa.array(salter.salts(h, keys, k, first), pa.int32())
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(k)), *(pa.array(x, pa.int64()) for x in (h, at, first, last)), salt], ["key", "gram", "at", "first", "last", "salt"])
 
@@ -337,13 +372,13 @@ def repeats(rows: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int =
             for key, raw, spots in zip(*(batch.column(c).to_pylist() for c in ("key", "raw", "places")), strict=True):
                 for p in spots:
                     if p["n"] <= group_rows:
-                        pieces = [(p["first"], raw[p["first"] : p["last"] + length], b"")]
+                        pieces = [(p["first"], raw[p["first"] * width : (p["last"] + length) * width], b"")]
                     else:
                         pieces = []
                         s = p["first"]
                         while s <= p["last"]:  # cut at multiples from the anchor, so that equal places are cut alike
                             e = min(p["last"], p["at"] + ((s - p["at"]) // PIECE + 1) * PIECE - 1)
-                            w = raw[s : e + length]
+                            w = raw[s * width : (e + length) * width]
                             pieces.append((s, w, hashlib.blake2b(w, digest_size=16).digest()))
                             s = e + 1
                     for s, piece, sub in pieces:
@@ -375,7 +410,7 @@ def repeats(rows: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int =
             copies = np.bincount(member)
             runs: dict[int, list[tuple[int, int]]] = {}
             distinct = list(index)
-            for k, s, t in repeated([x[2] for x in distinct], np.array([x[1] for x in distinct]), copies, length):
+            for k, s, t in repeated([x[2] for x in distinct], np.array([x[1] for x in distinct]), copies, length, width):
                 runs.setdefault(k, []).append((s, t))
             rows = [(i, a + s, a + t) for i, (m, a) in enumerate(zip(member.tolist(), at.tolist(), strict=True)) for s, t in runs.get(m, ())]
             where, s, t = zip(*rows, strict=True) if rows else ((), (), ())
@@ -405,12 +440,14 @@ def repeats(rows: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int =
         # Pieces are counted by content before the shuffle; distinct ones alone are taken apart into windows.
         crowded = segments(places.where(F.col("n") > group_rows)).select("gram", "sub", "key", "first", "segment")
         distinct = crowded.groupBy("gram", "sub").agg(F.count("*").alias("copies"), F.first("segment").alias("segment"))
-        window = F.transform(F.sequence(F.lit(1), F.length("segment") - length + 1), lambda i: F.md5(F.substring("segment", i, F.lit(length))))
+        starts = F.sequence(F.lit(0), F.floor(F.length("segment") / width).cast("int") - length)
+        window = F.transform(starts, lambda i: F.md5(F.substring("segment", i * width + 1, F.lit(length * width))))
         windows = distinct.select("gram", "sub", "copies", F.posexplode(window).alias("pos", "window"))
         many = windows.groupBy("gram", "window").agg(F.sum("copies").alias("many")).where("many > 1").drop("many")
-        marked = windows.join(many, ["gram", "window"]).groupBy("gram", "sub").agg(F.collect_list("pos").alias("marks"))
+        marked = checkpointed(windows.join(many, ["gram", "window"]).groupBy("gram", "sub").agg(F.collect_list("pos").alias("marks")))
         runs = F.transform("marks", lambda p: F.struct((F.col("first") + p).alias("start"), (F.col("first") + p).alias("stop")))
-        single = crowded.select("gram", "sub", "key", "first").join(marked, ["gram", "sub"]).select("key", runs.alias("runs"))
+        # A piece that a third of all texts share: its marks go to the places where there are few, else the join's large side is split.
+        single = crowded.select("gram", "sub", "key", "first").join(bounded(marked, weight=F.size("marks") + 4), ["gram", "sub"]).select("key", runs.alias("runs"))
         single = single.groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
         found = found.unionByName(single).groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     return found
@@ -427,11 +464,10 @@ def spans(runs: list, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS, made: dict[str, Column] | None = None, by_key: bool = False, salt_after: int = SALT_AFTER) -> DataFrame:
+def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS, made: dict[str, Column] | None = None, salt_after: int = SALT_AFTER) -> DataFrame:
     """``docs`` with ``n_bytes``, ``spans`` (removed byte ranges, half open) and ``kept`` (the remaining bytes) in place of the text.
 
     ``made``: columns over these three to return instead of them; made once for each distinct text, before rows are joined.
-    ``by_key``: a row for each distinct text instead, with its ``__key``.
     """
     if gram & (gram - 1) or length < gram + 8 or length % 8:
         raise ValueError("gram must be a power of two, length a multiple of 8 and at least 8 over gram")
@@ -454,8 +490,6 @@ def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
     names = ["n_bytes", "spans", "kept"] if made is None else list(made)
     if made is not None:
         done = done.select("__key", *(c.alias(n) for n, c in made.items()))
-    if by_key:
-        return done
     others = [c for c in docs.columns if c != text and c not in names]
     return rows.select(*others, "__key").join(done, "__key").drop("__key")
 
@@ -469,18 +503,101 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), made=made).select("doc_id", *made)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages cut out of ``text``; bytes of a character that was cut through go too. All rows stay.
+class Symbols(dict):
+    """The 8-byte symbol of each word met, remembered."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = symbol = hashlib.blake2b(word, digest_size=8).digest()
+        return symbol
+
+
+def in_words(docs: DataFrame, text: str) -> DataFrame:
+    """``__key`` and ``__raw`` of each row: the text's key, and its words (runs without ASCII white space) as symbols.
 
-    A text that loses nothing, null included, is unchanged.
+    A symbol is a 64-bit hash: two words of a corpus with a billion different words share one with a chance of 0.03.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Symbols()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                raw = [b"".join(map(known.__getitem__, t.split())) for t in part.column("__raw").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array(raw, pa.binary())], ["__key", "__raw"])
+                if len(known) > CACHED_WORDS:
+                    known.clear()
+
+    return with_key(docs, text).select("__key", "__raw").mapInArrow(run, "__key binary, __raw binary")
+
+
+def passages(docs: DataFrame, text: str = "text", length: int = WORDS, gram: int = WORD_GRAM, group_rows: int = GROUP_ROWS, salt_after: int = SALT_AFTER) -> DataFrame:
+    """``__key, spans`` of each distinct text that holds a passage of ``length`` words that starts anywhere else too.
+
+    spans: half-open ranges of word numbers, maximal, in order. A text of so many words that occurs twice is one span.
+    """
+    if gram & (gram - 1) or length <= gram:
+        raise ValueError("gram must be a power of two and less than length")
+    rows = in_words(docs, text)
+    texts = rows.groupBy(F.col("__key").alias("key")).agg(F.first("__raw").alias("raw"))
+    found = repeats(rows, texts, length, gram, group_rows, salt_after, 8)
+    whole = with_key(docs, text).groupBy(F.col("__key").alias("key")).agg(F.count("*").alias("copies"), F.first(word_count(F.col(text))).alias("n")).where((F.col("copies") > 1) & (F.col("n") >= length))
+    whole = whole.select("key", F.array(F.struct(F.lit(0).cast("long").alias("start"), (F.col("n") - length).alias("stop"))).alias("runs"))
+    every = found.unionByName(whole).groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    ordered = F.array_sort("runs")
+    # Runs of window starts, in order, become maximal spans: one that starts within the last one lengthens it.
+    none = F.array().cast("array<struct<start: bigint, stop: bigint>>")
+    last = lambda a: F.element_at(a, -1)
+    span = lambda s, e: F.struct(s.alias("start"), e.alias("stop"))
+
+    def grow(a: Column, r: Column) -> Column:
+        e = r["stop"] + length
+        longer = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(span(last(a)["start"], F.greatest(last(a)["stop"], e))))
+        return F.when((F.size(a) > 0) & (r["start"] <= F.coalesce(F.get(a, F.size(a) - 1)["stop"], F.lit(-1))), longer).otherwise(F.concat(a, F.array(span(r["start"], e))))
+
+    return every.select(F.col("key").alias("__key"), F.aggregate(ordered, none, grow).alias("spans"))
+
+
+def word_count(text: Column) -> Column:
+    """Runs without ASCII white space."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def without_words(text: str, spans_: list[tuple[int, int]]) -> str:
+    """``text`` without the words of each span (from, to) and the white space after them."""
+    edges, at = [], 0
+    wanted = [x for s in spans_ for x in s]
+    for k, m in enumerate(WORD.finditer(text)):
+        while at < len(wanted) and wanted[at] == k:
+            edges.append(m.start())
+            at += 1
+    edges += [len(text)] * (len(wanted) - at)
+    bounds = [0, *edges, len(text)]
+    return "".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True))
+
+
+def cutter() -> Callable:
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, spans_: pa.Array) -> pa.Array:
+        out = []
+        for t, found in zip(text.to_pylist(), spans_.to_pylist(), strict=True):
+            out.append(without_words(t, [(s["start"], s["stop"]) for s in found]))
+        return pa.array(out, pa.string())
+
+    return cut
+
+
+def without_repeats(docs: DataFrame, length: int = WORDS) -> DataFrame:
+    """``docs`` without the passages of ``length`` words or more that start anywhere else too, in any row. All rows stay.
+
+    Every copy of a passage goes, the first one as well. What is cut goes from a word's start to the start of the next word that
+    stays. A text that loses nothing, null included, is unchanged; ``n_chars``, where it is a column, is counted anew.
     """
-    new = F.when(F.size("spans") > 0, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
-    rows = docs.withColumn("__text", F.col("text"))
-    lost = checkpointed(strip_repeats(rows.select("__text"), "__text", made={"__new": new}, by_key=True).where("__new IS NOT NULL"))
-    # Texts that lose nothing stay where they are; the others are replaced, so that none of them moves from here.
-    rows = with_key(docs, "text").drop("__raw").join(bounded(lost.select("__key", F.lit(True).alias("__lost"))), "__key", "left")
-    same = rows.where("__lost IS NULL").select(docs.columns)
-    changed = rows.where("__lost").drop("text").join(lost, "__key").withColumnRenamed("__new", "text")
+    lost = checkpointed(passages(docs.select("text"), length=length))
+    lost = bounded(lost.withColumnRenamed("spans", "__spans"), weight=F.size("__spans") * 2 + 3)
+    # Texts that lose nothing stay where they are.
+    rows = with_key(docs, "text").drop("__raw").join(lost, "__key", "left")
+    same = rows.where("__spans IS NULL").select(docs.columns)
+    changed = rows.where("__spans IS NOT NULL").withColumn("text", cutter()("text", "__spans"))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return same.unionByName(changed.select(docs.columns))
