@@ -7,11 +7,11 @@ own input. An empty table passes through all stages.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from touchline.llm.common import shared_folder
 from touchline.llm.langid import keep_known
 from touchline.llm.mixing import mixed
 from touchline.llm.packing import default_tokenizer, packed
@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 400 bytes or more that start elsewhere too."""
+    """All documents, without the passages of 50 words or more that start elsewhere too."""
     return without_repeats(docs)
 
 
@@ -50,9 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between goes to the session's shared checkpoint folder, or, where none is set, to a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    base = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; what lies between goes to the session's shared checkpoint folder."""
+    base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
