@@ -160,32 +160,44 @@ def test_bit_planes(radius):
     assert (got == want).all()
 
 
-def test_simhash_splits_crowded_keys(spark):
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_simhash_splits_crowded_keys(spark, few):
     rng = np.random.default_rng(1)
     values = np.unique(np.concatenate([rng.integers(0, 1 << 20, 300), rng.integers(0, 1 << 62, 100)]))
     found = simhash.links(spark.createDataFrame([(int(v),) for v in values], "simhash long"), 4, 40)
-    roots = {r.node: r.root for r in common.components(found).collect()}
+    roots = {r.node: r.root for r in common.components(found, few=few).collect()}
     parent = np.arange(len(values))
     for i, j in simhash.within(values.astype(np.uint64), values.astype(np.uint64), 4):
         common.union(parent, i, j)
     assert [roots.get(int(v), int(v)) for v in values] == values[parent].tolist()
 
 
-def test_vectors_against_brute_force(spark):
+@pytest.mark.parametrize(("cell_rows", "pivots"), [(40, 65_536), (40, 2), (8192, 65_536)])
+def test_vectors_against_brute_force(spark, monkeypatch, cell_rows, pivots):
+    monkeypatch.setattr(vectors, "MOST_PIVOTS", pivots)
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(300, 8))
+    x = rng.normal(size=(400, 8))
     x[100:200] = x[:100] + rng.normal(size=(100, 8)) * 0.15
     x[200:220] = x[0]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, []), (302, [0.0] * 8), (303, [float("nan")] * 8), (304, [1.0, None]), (305, [1.0, 2.0]), (306, [2.0, 4.0]), (None, [1.0] * 8)]
-    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell_rows=40).collect()
+    x[300:] = x[50] + rng.normal(size=(100, 8)) * 0.1  # a dense group
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, []), (502, [0.0] * 8), (503, [float("nan")] * 8), (504, [1.0, None]), (505, [1.0, 2.0]), (506, [2.0, 4.0]), (None, [1.0] * 8)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell_rows=cell_rows).collect()
     near = (x @ x.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :] >= 0.9
     np.fill_diagonal(near, False)
-    parent = np.arange(300)
+    parent = np.arange(400)
     common.union(parent, *np.nonzero(near))
     by = {r.vec_id: r for r in got}
-    assert [(by[i].n_links, by[i].component_id) for i in range(300)] == list(zip(near.sum(1).tolist(), parent.tolist(), strict=True))
-    assert [(by[i].n_links, by[i].kept) for i in range(300, 305)] == [(0, True)] * 5
-    assert (by[306].n_links, by[306].component_id, by[None].n_links, by[None].kept) == (1, 305, 0, False)
+    assert [(by[i].n_links, by[i].component_id) for i in range(400)] == list(zip(near.sum(1).tolist(), parent.tolist(), strict=True))
+    assert [(by[i].n_links, by[i].kept) for i in range(500, 505)] == [(0, True)] * 5
+    assert (by[506].n_links, by[506].component_id, by[None].n_links, by[None].kept) == (1, 505, 0, False)
+
+
+def test_vectors_of_one_id(spark):
+    """Rows of an id with different vectors, extra columns with the names that the operator uses."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (2, [0.0, 2.0]), (0, [1.0, 0.01]), (7, [-1.0, 0.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("vector", "k", "node", "kept", "cell")})
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(docs).collect())
+    assert got == [(0, 1, 0, True), (1, 1, 0, False), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (7, 0, 7, True)]
 
 
 def test_chat_round_trip(spark):
@@ -396,10 +408,15 @@ def test_awkward_scores(spark):
     assert near[10] == 9 and near[4] == 3 and near[7] == 6
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_components_of_a_long_chain(spark, few):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (None, 3)], "u long, v long")
-    got = {r.node: r.root for r in common.components(edges).collect()}
+    got = {r.node: r.root for r in common.components(edges, few=few).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+    named = edges.select(*(F.struct(F.col(c).isNull().alias("unnamed"), F.when(F.col(c) != 4, F.col(c)).alias("id"), F.lit("x").alias("more")).alias(c) for c in ("u", "v")))
+    got = {r.node.id: (r.root.unnamed, r.root.id) for r in common.components(named.where("NOT u.unnamed"), few=few).collect()}
+    assert got == {None if i == 4 else i: (False, None) for i in range(61)} | {100: (False, 100), 101: (False, 100)}
+    assert common.components(edges.limit(0), few=few).count() == 0
 
 
 def test_vectors_same_as_sql(spark):

@@ -75,8 +75,8 @@ def letters_mask(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < 0x800, small[np.minimum(codes, 0x7FF)], (codes < 0x2000) | (codes > 0x206F))
 
 
-def cells(keyed: DataFrame, keys: list[str], value: str, cell_rows: int) -> DataFrame:
-    """``keys, a, b, first, value``: the rows of each key that has two or more, dealt into cells (``keys, a, b``), in order.
+def cells(keyed: DataFrame, keys: list[str], value: str, cell_rows: int, others: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, a, b, first, value, others``: the rows of each key that has two or more, dealt into cells (``keys, a, b``), in order.
 
     A key with more than ``cell_rows`` rows is dealt into blocks, and each pair of blocks is a cell of its own: no task holds
     more than two blocks of a key, and no pair is lost. ``first`` tells the block of ``a``.
@@ -84,7 +84,7 @@ def cells(keyed: DataFrame, keys: list[str], value: str, cell_rows: int) -> Data
     sizes = keyed.groupBy(*keys).count().where("count > 1").select(*keys, F.ceil(F.col("count") / cell_rows).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64(value, F.lit(7)), F.col("parts")).cast("int")
     dealt = keyed.join(sizes, keys).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(*keys, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") <= F.col("other")).alias("first"), value)
+    dealt = dealt.select(*keys, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") <= F.col("other")).alias("first"), value, *others)
     return dealt.repartition(*keys, "a", "b").sortWithinPartitions(*keys, "a", "b")
 
 
@@ -122,18 +122,45 @@ def union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def solved(links: DataFrame) -> DataFrame:
+    """``components`` of so few links that one task holds them all."""
+    kind = links.schema["u"].dataType.simpleString()
+
+    def order(node: object) -> object:
+        return tuple(order(x) for x in node.values()) if isinstance(node, dict) else (node is not None, 0 if node is None else node)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        ends = pa.chunked_array([b.column(c) for c in ("u", "v") for b in held])
+        nodes = [(order(x), i) for i, x in enumerate(ends.to_pylist())]
+        number = {k: n for n, k in enumerate(sorted({k for k, _ in nodes}))}
+        at = np.array([number[k] for k, _ in nodes])
+        some = {number[k]: i for k, i in nodes}  # a place where each node stands
+        parent = np.arange(len(number))
+        union(parent, at[: len(at) // 2], at[len(at) // 2 :])
+        take = lambda ns: ends.take(pa.array([some[n] for n in ns])).combine_chunks()
+        node, root = take(range(len(number))), take(parent.tolist())
+        yield pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (node, root)], ["node", "root"])
+
+    return links.coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+
+
+def components(edges: DataFrame, rounds: int = 64, few: int = 20_000) -> DataFrame:
     """``(node, root)`` for each end of the links ``(u, v)``: root is the smallest node reachable.
 
-    Alternating large and small stars. Each round is two aggregations and two joins keyed by node, so a node with a third
-    of all links is pre-aggregated and its join is split at run time; rounds grow with the logarithm of a component's size.
-    Null ends are ignored. Each round is a reliable checkpoint.
+    Up to ``few`` distinct links are joined in one task; any more by alternating large and small stars: each round is two
+    aggregations and two joins keyed by node, so a node with a third of all links is pre-aggregated and its join is split at run
+    time; rounds grow with the logarithm of a component's size, and each is a reliable checkpoint. Null ends are ignored.
     """
     links = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links, last = checkpointed(links), None
+    if links.count() <= few:
+        return solved(links)
     for _ in range(rounds):
         mark = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark[0] == 0 or mark == last:
+        if mark == last:
             break
         last = mark
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

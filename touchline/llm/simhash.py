@@ -126,12 +126,14 @@ def key_masks(count: float, radius: int) -> list[int]:
 def links(distinct: DataFrame, radius: int = 4, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links ``(u, v)`` that span every set of fingerprints connected within ``radius``; ``distinct`` has ``simhash``.
 
+    Where ``distinct`` has ``first`` too, ends are structs of both, so that a set's smallest end tells its smallest ``first``.
     A key with more than ``cell_rows`` fingerprints is dealt into cells; no pair is lost.
     """
     count = distinct.count()
     masks = key_masks(count, radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select("simhash", F.posexplode(F.array(*(F.col("simhash").bitwiseAND(F.lit(m)) for m in signed))).alias("mask", "key"))
+    more = tuple(c for c in distinct.columns if c == "first")
+    keyed = distinct.select("simhash", *(F.col(c).alias("named") for c in more), F.posexplode(F.array(*(F.col("simhash").bitwiseAND(F.lit(m)) for m in signed))).alias("mask", "key"))
     names = ["mask", "key", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,21 +144,28 @@ def links(distinct: DataFrame, radius: int = 4, cell_rows: int = CELL_ROWS) -> D
             for s, e in ranges:
                 roots = forest(values[s:e].view(np.uint64), first[s:e], radius, bool(a[s] == b[s]))
                 moved = np.flatnonzero(roots != np.arange(e - s))
-                u.append(values[s:e][moved])
-                v.append(values[s:e][roots[moved]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+                u.append(s + moved)
+                v.append(s + roots[moved])
+            ends = [table.select([*("named" for _ in more), "simhash"]).take(pa.array(np.concatenate(x))).combine_chunks() for x in (u, v)]
+            columns = [end.column(c) for end in ends for c in end.column_names]
+            flat = [pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in columns]
+            yield pa.RecordBatch.from_arrays(flat, [f"{x}_{c}" for x in "uv" for c in ends[0].column_names])
 
-    return cells(keyed, ["mask", "key"], "simhash", cell_rows).mapInArrow(run, "u long, v long")
+    kinds = [*((f"{x}_named", distinct.schema["first"].dataType.simpleString()) for x in "uv" for _ in more), *((f"{x}_simhash", "long") for x in "uv")]
+    schema = ", ".join(f"{n} {k}" for n, k in sorted(kinds, key=lambda c: (c[0][0], "simhash" in c[0])))
+    found = cells(keyed, ["mask", "key"], "simhash", cell_rows, ("named",) * len(more)).mapInArrow(run, schema)
+    end = lambda x: F.struct(F.col(f"{x}_named").alias("first"), F.col(f"{x}_simhash").alias("simhash")) if more else F.col(f"{x}_simhash")
+    return found.select(end("u").alias("u"), end("v").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for each row: the smallest doc_id reachable by links of fingerprints."""
     rows = checkpointed(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words, seed))
-    distinct = rows.groupBy("simhash").agg(F.min("doc_id").alias("low"))
-    roots = components(links(distinct.select("simhash"), radius))
-    classes = distinct.join(roots, distinct.simhash == roots.node, "left").select("simhash", "low", F.coalesce("root", "simhash").alias("root"))
-    lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classes.join(lowest, "root").select("simhash", "component_id")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id"))
+    distinct = checkpointed(rows.groupBy("simhash").agg(low.alias("first")))
+    roots = components(links(distinct, radius)).select(F.col("node.simhash").alias("simhash"), F.col("root.first").alias("root"))
+    # What the rows are joined with is a table of its own, so that a fingerprint that a third of all rows have can be split.
+    named = checkpointed(distinct.join(roots, "simhash", "left").select("simhash", F.coalesce("root", "first")["doc_id"].alias("component_id")))
     return rows.join(named, "simhash").select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 

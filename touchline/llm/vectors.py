@@ -4,8 +4,13 @@ Vectors are scaled to length one; cosine >= c is Euclidean distance <= r = sqrt(
 each vector belongs to its nearest pivot's cell. If x of cell i and y of cell j are within r, the triangle inequality keeps x
 within r of the plane that separates the two pivots; so x is replicated to the cells j for which that holds. Cells are then
 joined independently: a pair is looked at in exactly one cell, the later one of its two. Equal vectors collapse before all
-that and count with their number of copies. A cell with more than ``cell_rows`` vectors is dealt into cells of their own
-with the same pivot, so that no task holds more than one such cell; vectors sent to it stream by.
+that and count with their number of copies. Pivots grow with the table, one for ``cell_rows`` distinct vectors up to
+``MOST_PIVOTS``. A cell that has more vectors all the same is dealt into cells of their own with the same pivot, so that no task
+holds more than one such cell; vectors sent to it stream by.
+
+Inside a cell, vectors lie in order of their distance to the pivot. By the triangle inequality a block of vectors only meets
+those whose distance is within r of its own; products in single precision then leave out what is below the bound by more than
+their error, and the rest is decided in double precision.
 
 Out of a cell come each vector's number of links and a forest that spans its linked sets, never its pairs.
 
@@ -16,6 +21,7 @@ vec_id (component null, kept false). Vectors of different dimension never link.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +30,9 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import checkpointed, components, read, union
 
-CELL_ROWS, MOST_PIVOTS = 4096, 512
+CELL_ROWS, MOST_PIVOTS = 8192, 65_536
+#: Vectors of a block, and numbers of a block of products with pivots.
+BLOCK, PRODUCTS = 256, 1 << 21
 
 
 def linked(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -40,97 +48,138 @@ def linked(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
 
 
 def prepared(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """``vec_id, vector``: the vector in double precision, null where it can't link."""
+    """``vec_id, vector, k, l``: the vector in double precision, null where it can't link, and 128 bits of its hash."""
     v = F.transform(F.col(embedding), lambda x: x.cast("double"))
     bad = F.col(embedding).isNull() | (F.size(embedding) == 0) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(v, lambda x: x != 0) | F.col(vec_id).isNull()
-    return vectors.select(F.col(vec_id).alias("vec_id"), F.when(~F.coalesce(bad, F.lit(True)), F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))).alias("vector"))
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.when(~F.coalesce(bad, F.lit(True)), F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))).alias("vector"))
+    return rows.withColumn("k", F.xxhash64("vector")).withColumn("l", F.xxhash64(F.lit(1), "vector"))
 
 
-def unit(rows: pa.Array) -> list[np.ndarray]:
-    out = []
-    for v in rows:
-        x = v.values.to_numpy()
-        x = x / np.abs(x).max()
-        out.append(x / np.sqrt((x * x).sum()))
-    return out
+def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each dimension, the rows that have it, and their vectors."""
+    sizes, values = np.asarray(column.value_lengths()), column.flatten().to_numpy()
+    ends = np.cumsum(sizes)
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        yield rows, values[(ends[rows] - size)[:, None] + np.arange(size)]
+
 
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
-def cells(distinct: DataFrame, least: float, cell_rows: int) -> DataFrame:
-    """``node, copies, vector`` dealt to cells: ``cell``, and ``own`` where the vector belongs there rather than visits."""
+
+def cells(distinct: DataFrame, least: float, cell_rows: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """``node, copies, vector`` dealt to cells: ``cell``, and ``own`` where the vector belongs there rather than visits; and the
+    cells' pivots."""
     count = distinct.count()
     wanted = int(min(MOST_PIVOTS, max(1, -(-count // cell_rows))))
     # The pivots are those with the smallest hash: a bounded choice that reruns repeat.
     chosen = distinct.orderBy(F.xxhash64("node", F.lit(42)), "node").limit(wanted).select("vector").collect()
-    by_size: dict[int, list[np.ndarray]] = {}
+    by_size: dict[int, list] = {}
     for (v,) in chosen:
-        x = np.array(v)
-        by_size.setdefault(len(x), []).append(x / np.abs(x).max() / np.sqrt(((x / np.abs(x).max()) ** 2).sum()))
-    pivots = {k: np.array(v) for k, v in by_size.items()}
-    radius = float(np.sqrt(2 - 2 * least)) + 1e-9
+        by_size.setdefault(len(v), []).append(v)
+    pivots = {k: unit(np.array(v)) for k, v in by_size.items()}
+    radius = float(np.sqrt(2 - 2 * least)) + 1e-6
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            home, sent = [], []
-            for x in unit(batch.column("vector")):
-                p = pivots.get(len(x))
-                if p is None:
-                    home.append(0)
-                    sent.append([0])
-                    continue
-                close = p @ x
-                i = int(close.argmax())
-                apart = np.sqrt(((p - p[i]) ** 2).sum(1))
-                margin = (close[i] - close) / np.where(apart > 0, apart, 1)  # distance to the separating plane
-                home.append(i)
-                sent.append(np.flatnonzero((margin <= radius) | (apart == 0)).tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(v) for v in batch.column("vector")], pa.int32()), pa.array(home, pa.int32()), pa.array(sent, pa.list_(pa.int32()))], [*batch.schema.names, "size", "home", "sent"])
+            home, sent = np.zeros(batch.num_rows, np.int32), [[0]] * batch.num_rows
+            for rows, x in matrices(batch.column("vector")):
+                p = pivots.get(x.shape[1])
+                step = max(1, PRODUCTS // len(p)) if p is not None else 0
+                for s in range(0, len(rows), step) if step else ():
+                    some = unit(x[s : s + step])
+                    close = some @ p.T
+                    best = close.argmax(1)
+                    apart = np.sqrt(np.maximum(0, 2 - 2 * (p[best] @ p.T)))
+                    top = close[np.arange(len(some)), best][:, None]
+                    # The distance to the separating plane; pivots that are all but one are not told apart.
+                    visits = (top - close <= radius * apart) | (apart < 1e-6)
+                    home[rows[s : s + step]] = best
+                    for r, v in zip(rows[s : s + step].tolist(), visits, strict=True):
+                        sent[r] = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([*batch.columns, batch.column("vector").value_lengths(), pa.array(home), pa.array(sent, pa.list_(pa.int32()))], [*batch.schema.names, "size", "home", "sent"])
 
     dealt = distinct.mapInArrow(near, "node long, copies long, vector array<double>, size int, home int, sent array<int>")
     sizes = dealt.groupBy("size", "home").agg(F.count("*").alias("n")).collect()  # at most a row for each pivot and dimension
-    base, table = 0, []
+    base, table, middles = 0, [], {}
     for size, pivot, n in sorted(sizes):
         parts = -(-n // cell_rows)
         table.append((size, pivot, base, parts))
+        if size in pivots:
+            middles |= dict.fromkeys(range(base, base + parts), pivots[size][pivot])
         base += parts
     plan = dealt.sparkSession.createDataFrame(table, "size int, pivot int, base int, parts int")
     dealt = dealt.join(F.broadcast(plan.withColumnRenamed("pivot", "home")), ["size", "home"])
     dealt = dealt.withColumn("mine", F.col("base") + F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("base", "parts")
     visits = dealt.withColumn("pivot", F.explode("sent")).join(F.broadcast(plan), ["size", "pivot"]).withColumn("cell", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("parts") - 1)))
     visits = visits.where("cell > mine").select("cell", F.lit(False).alias("own"), "node", "copies", "vector")
-    return dealt.select(F.col("mine").alias("cell"), F.lit(True).alias("own"), "node", "copies", "vector").unionByName(visits)
-
-
-def joined(dealt: DataFrame, least: float) -> DataFrame:
+    return dealt.select(F.col("mine").alias("cell"), F.lit(True).alias("own"), "node", "copies", "vector").unionByName(visits), middles
+
+
+@dataclass
+class Rows:
+    """Vectors of one cell in order of their distance to its pivot."""
+
+    nodes: np.ndarray
+    copies: np.ndarray
+    vectors: np.ndarray
+    units: np.ndarray
+    distance: np.ndarray
+
+    @classmethod
+    def of(cls, batches: list[pa.RecordBatch], pivot: np.ndarray | None) -> Rows:
+        nodes, copies = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in ("node", "copies"))
+        vectors = np.concatenate([next(matrices(b.column("vector")))[1] for b in batches])
+        units = unit(vectors)
+        distance = np.zeros(len(units)) if pivot is None else np.sqrt(((units - pivot) ** 2).sum(1))
+        order = np.argsort(distance, kind="stable")
+        return cls(nodes[order], copies[order], vectors[order], units[order].astype(np.float32), distance[order])
+
+
+def links_of(x: Rows, y: Rows, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of linked rows of ``x`` and ``y``; where both are one cell, each pair once."""
+    radius, error = float(np.sqrt(2 - 2 * least)) + 1e-6, 1e-6 + 3e-7 * x.units.shape[1]
+    for s in range(0, len(x.nodes), BLOCK):
+        e = min(s + BLOCK, len(x.nodes))
+        lo, hi = np.searchsorted(y.distance, (x.distance[s] - radius, x.distance[e - 1] + radius))
+        lo = max(int(lo), s) if x is y else int(lo)
+        hit = x.units[s:e] @ y.units[lo:hi].T >= np.float32(least - error)
+        if x is y:
+            hit &= np.arange(lo, hi)[None, :] > np.arange(s, e)[:, None]
+        i = np.flatnonzero(hit.any(1))
+        if not len(i):
+            continue
+        j = np.flatnonzero(hit[i].any(0))
+        i, j = i[:, None], j[None, :]
+        a, b = np.nonzero(hit[i, j] & linked(x.vectors[s + i[:, 0]], y.vectors[lo + j[0]], least))
+        yield s + i[a, 0], lo + j[0, b]
+
+
+def joined(dealt: DataFrame, middles: dict[int, np.ndarray], least: float) -> DataFrame:
     """``node, links, root``: links counted in a cell, and the root of the node's set in it; a node may come from many cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, nodes, copies, matrix = None, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 1))
+        cell, mine = None, None
         pending: list[pa.RecordBatch] = []
 
-        def out(ids: np.ndarray, links: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
-            on = (links > 0) | (ids != roots)
-            return pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(links[on]), pa.array(roots[on])], ["node", "links", "root"])
-
-        def stack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            v = batch.column("vector")
-            ids, n = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
-            return ids, n, np.array([x.values.to_numpy() for x in v])
+        def out(rows: list[Rows], pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            """``rows``: the cell's own, and visitors, whose numbers follow theirs."""
+            nodes, copies = (np.concatenate([getattr(r, c) for r in rows]) for c in ("nodes", "copies"))
+            links, parent = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+            for i, j in pairs:
+                links += np.bincount(i, copies[j], len(nodes)).astype(np.int64) + np.bincount(j, copies[i], len(nodes)).astype(np.int64)
+                union(parent, i, j)
+            on = (links > 0) | (parent != np.arange(len(nodes)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[on]), pa.array(links[on]), pa.array(nodes[parent][on])], ["node", "links", "root"])
 
         def inside() -> Iterator[pa.RecordBatch]:
-            nonlocal nodes, copies, matrix
+            nonlocal mine
             if pending:
-                parts = [stack(b) for b in pending]
+                mine = Rows.of(pending, middles.get(cell))
                 pending.clear()
-                nodes, copies = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                matrix = np.concatenate([p[2] for p in parts])
-                parent, links = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
-                for s in range(0, len(nodes), 512):
-                    hit = linked(matrix[s : s + 512], matrix, least)
-                    hit[np.arange(len(hit)), np.arange(s, s + len(hit))] = False
-                    links[s : s + 512] = hit @ copies
-                    i, j = np.nonzero(hit)
-                    union(parent, i + s, j)
-                yield out(nodes, links, nodes[parent])
+                yield out([mine], links_of(mine, mine, least))
 
         for whole in batches:
             cells_, own = whole.column("cell").to_numpy(), whole.column("own").to_numpy(zero_copy_only=False)
@@ -141,21 +190,14 @@ def joined(dealt: DataFrame, least: float) -> DataFrame:
                 part = whole.slice(s, e - s)
                 if cells_[s] != cell:
                     yield from inside()
-                    cell, nodes, copies, matrix = cells_[s], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 1))
+                    cell, mine = int(cells_[s]), None
                 if own[s]:
                     pending.append(part)
                     continue
                 yield from inside()
-                if not len(nodes):
-                    continue
-                for t in range(0, part.num_rows, 512):
-                    ids, n, x = stack(part.slice(t, 512))
-                    hit = linked(x, matrix, least)
-                    parent = np.arange(len(nodes) + len(ids))
-                    i, j = np.nonzero(hit)
-                    union(parent, i + len(nodes), j)
-                    every = np.concatenate((nodes, ids))
-                    yield out(every, np.concatenate((n @ hit, hit @ copies)), every[parent])
+                if mine is not None:
+                    visitors = Rows.of([part], middles.get(cell))
+                    yield out([mine, visitors], ((i + len(mine.nodes), j) for i, j in links_of(visitors, mine, least)))
         yield from inside()
 
     # Dimensions never share a cell, since cells are numbered by dimension and pivot.
@@ -166,29 +208,26 @@ def joined(dealt: DataFrame, least: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors``."""
     rows = prepared(vectors, vec_id, embedding)
-    distinct = checkpointed(rows.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").cast("long").alias("node"), F.count("*").alias("copies")).select("node", "copies", "vector"))
-    # Rows of one vec_id with different vectors are told apart by a node number that need not be the id.
-    clash = distinct.groupBy("node").count().where("count > 1").take(1)
-    names = distinct
+    distinct = rows.where("vector IS NOT NULL").groupBy("k", "l").agg(F.min("vec_id").cast("long").alias("low"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    names = checkpointed(distinct.withColumn("node", F.col("low")))
+    # Rows of one vec_id with different vectors are numbered anew, in the same order.
+    clash = bool(names.groupBy("node").count().where("count > 1").take(1))
     if clash:
-        names = checkpointed(distinct.withColumn("low", F.col("node")).withColumn("node", F.xxhash64("vector")))
-        distinct = names.select("node", "copies", "vector")
-    found = checkpointed(joined(cells(distinct, least, cell_rows), least))
+        names = checkpointed(names.orderBy("low", "k", "l").withColumn("node", F.monotonically_increasing_id()))
+    found = checkpointed(joined(*cells(names.select("node", "copies", "vector"), least, cell_rows), least))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v")))
-    classes = names.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("low", F.col("low") if clash else F.col("node"))
+    classes = names.drop("vector").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = checkpointed(classes.select("k", "l", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     if clash:
-        lowest = classes.groupBy("root").agg(F.min("low").alias("least_id"))
-        classes = classes.drop("least_id").join(lowest, "root")
+        classes = checkpointed(classes.join(names.select(F.col("node").alias("root"), F.col("low").alias("component_id")), "root"))
     else:
-        classes = classes.withColumn("least_id", F.col("root"))
-    classes = classes.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("least_id").alias("component_id"))
-    good = rows.where("vector IS NOT NULL").join(classes, "vector").select("vec_id", "n_links", "component_id")
+        classes = classes.withColumnRenamed("root", "component_id")
+    # ``classes`` is a table of its own, so that the join can split a vector that a third of all rows have.
+    good = rows.where("vector IS NOT NULL").select("vec_id", "k", "l").join(classes, ["k", "l"]).select("vec_id", "n_links", "component_id")
     lone = rows.where("vector IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"))
-
-
