@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,10 +70,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def letters_mask(codes: np.ndarray) -> np.ndarray:
-    """Which code points count as letters: exact below U+0800, and above it all outside the general punctuation block."""
-    small = np.array([chr(i).isalpha() for i in range(0x800)])
-    return np.where(codes < 0x800, small[np.minimum(codes, 0x7FF)], (codes < 0x2000) | (codes > 0x206F))
+@cache
+def letters() -> np.ndarray:
+    """Which code points are letters (Unicode's general categories L)."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def cells(keyed: DataFrame, keys: list[str], value: str, cell_rows: int, others: tuple[str, ...] = ()) -> DataFrame:

@@ -5,13 +5,12 @@ of features. Inverse document frequencies come from all training rows. The regre
 leader (FTRL-proximal) with elastic-net penalties on a bounded, hash-chosen sample of rows for each language, and its
 temperature is calibrated on a part of the sample that the fit has not seen. Scoring reads whole texts.
 
-Nulls: a null text or one without a letter is predicted ``und`` with score 0. Rows whose language is null teach nothing.
+Nulls: a null text or one without a letter (Unicode's categories L; "²" and "Ⅷ" are none) is predicted ``und`` with score 0. Rows whose language is null teach nothing.
 Without any training row all predictions are ``und``. Ties go to the language first by code point. Repeated rows count each.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import blocks, letters_mask, read, texts_of
+from touchline.llm.common import blocks, letters, read, texts_of
 
-LETTER = re.compile(r"[^\W\d_]")
 BITS = 14
 #: Mean TF-IDF values are small; all are multiplied by this before the regression.
 SCALE = 20.0
@@ -36,7 +34,7 @@ def grams(texts: list[str], n: int = 3) -> tuple[list[np.ndarray], np.ndarray]:
     lowered = [t.lower() for t in texts]
     sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(letters_mask(codes), codes, np.uint32(32))
+    codes = np.where(letters()[codes], codes, np.uint32(32))
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     left = np.repeat(offsets[1:], sizes) - np.arange(len(codes))
     out, mixed = [], np.zeros(len(codes), np.uint32)
@@ -49,14 +47,20 @@ def grams(texts: list[str], n: int = 3) -> tuple[list[np.ndarray], np.ndarray]:
     return out, offsets
 
 
-def document_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """How many of the rows hold each feature, and at the end the number of rows: one small vector for each batch is summed."""
+def document_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[np.ndarray, dict[str, int]]:
+    """How many of the rows hold each feature, and at the end the number of rows; and the number of rows of each language.
+
+    One pass over the texts; tasks sum their rows before the shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << BITS) + 1, np.int64)
         flags = np.zeros((1 << BITS) + 1, np.int64)
+        by: dict[str, int] = {}
         for batch in batches:
             texts = texts_of(batch.column(0))
+            for k in batch.column(1).to_pylist():
+                by[k] = by.get(k, 0) + 1
             for a, b in blocks(np.fromiter(map(len, texts), np.int64, len(texts))):
                 features, offsets = grams(texts[a:b])
                 for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -66,12 +70,17 @@ def document_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
                     flags[1 << BITS] = 1
                     total += flags
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["feature", "n"])
+        columns = [[None] * len(at) + list(by), [*at.tolist(), *[-1] * len(by)], [*total[at].tolist(), *by.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["lang", "feature", "n"])
 
-    out = np.zeros((1 << BITS) + 1, np.int64)
-    for feature, n in docs.select(text).mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n")).collect():
-        out[feature] = n
-    return out
+    out, by = np.zeros((1 << BITS) + 1, np.int64), {}
+    # As many rows as there are features and languages.
+    for k, feature, n in docs.select(text, F.col(lang).cast("string")).mapInArrow(run, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n")).collect():
+        if feature < 0:
+            by[k] = n
+        else:
+            out[feature] = n
+    return out, by
 
 
 @dataclass
@@ -99,7 +108,7 @@ class LanguageModel:
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
         p = softmax(self.logits(texts) / self.temperature)
-        known = np.array([bool(LETTER.search(t)) for t in texts], bool)
+        known = np.array([any(map(str.isalpha, t)) for t in texts], bool)
         names = [self.languages[k] if ok else "und" for k, ok in zip(p.argmax(1), known, strict=True)]
         return names, np.where(known, p.max(1, initial=0), 0.0)
 
@@ -140,17 +149,21 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, classes:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 1000, epochs: int = 3) -> LanguageModel:
-    """Learns from all rows' document frequencies and from about ``per_language`` rows of each language, chosen by hash of ``key`` (null: of the text)."""
+    """Learns from all rows' document frequencies and from a sample of about ``per_language`` rows of each language.
+
+    The sample is those of the smallest hashes of ``key`` and text, and never more than twice as many rows as asked for.
+    """
     rows = docs.where(F.col(lang).isNotNull() & F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    df, counts = document_counts(rows, text, lang)
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros(1 << BITS), np.zeros((1 << BITS, 0)), np.zeros(0))
-    df = document_counts(rows, text)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    share = F.coalesce(*(F.when(F.col(lang) == k, F.lit(min(1.0, per_language / n))) for k, n in counts.items()))
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col(text)), F.lit(42)), F.lit(1 << 30)) / float(1 << 30)
-    sample = sorted(rows.where(draw < share).select(F.col(key).cast("string"), F.col(lang), F.col(text)).collect(), key=lambda r: (str(r[0]), r[1], r[2]))
+    share = F.coalesce(*(F.when(F.col(lang).cast("string") == k, F.lit(min(1.0, per_language / n))) for k, n in counts.items()))
+    drawn = rows.select(F.col(key).cast("string").alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), share.alias("share"))
+    drawn = drawn.withColumn("hash", F.xxhash64("key", "text", F.lit(42))).where(F.pmod("hash", F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
+    chosen = drawn.orderBy("hash", "key", "lang", "text").limit(2 * per_language * len(languages)).select("key", "lang", "text").collect()
+    sample = sorted(chosen, key=lambda r: (str(r[0]), r[1], r[2]))
     vectors, target = [sparse(r[2], idf) for r in sample], np.array([languages.index(r[1]) for r in sample], int)
     held = np.arange(len(sample)) % 5 == 4
     weights, bias = ftrl([v for v, h in zip(vectors, held, strict=True) if not h], target[~held], len(languages), epochs)
@@ -163,9 +176,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return model
 
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` in place of its text column; other columns as they are."""
-    kept = [f for f in docs.schema if f.name not in (text, "lang_pred", "score")]
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text", made: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the columns ``made`` (language and score) in place of its text column; other columns as they are.
+
+    Columns that have these names already are replaced.
+    """
+    kept = [f for f in docs.schema if f.name not in (text, *made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,9 +192,9 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
                 some, p = model.predict(texts[a:b])
                 names += some
                 scores += p.tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(f.name for f in kept), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(f.name for f in kept), *made])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"{made[0]} string", f"{made[1]} double"])
     return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text)).mapInArrow(run, schema)
 
 
@@ -194,7 +210,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """Rows whose language is known: not ``und``, and with a score of ``least`` or more. The model is fitted on the rows' own ``lang``."""
+    """Rows whose language is known: not ``und``, and with a score of ``least`` or more. The model is fitted on the rows' own ``lang``.
+
+    Null, empty and letterless texts go; repeated rows stay as often as they are there; all columns stay as they are.
+    """
     model = fit(docs)
-    marked = docs.withColumn("__text", F.col("text"))
-    return predict(marked, model, "__text").where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(docs.columns)
+    marked = predict(docs.withColumn("__text", F.col("text")), model, "__text", ("__lang", "__score"))
+    return marked.where((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -8,7 +8,8 @@ and a bounded-knapsack dynamic programme over the counts closes the remaining ga
 again follows from a seeded hash, so that reruns agree.
 
 Nulls: a null text has size 0; rows with a null source are a source of their own, last in order. Repeated rows are separate
-documents. Documents of size 0 are taken with 0 words. Ties in the hash (repeated rows) are alike, so any of them will do.
+documents: the hash is of doc_id, source, text and the row's number among its equals, so that some of them may be taken
+and not others. Documents of size 0 are taken with 0 words.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import checkpointed, read
+from touchline.llm.common import bounded, checkpointed, read
 
 #: The largest remaining budget that the dynamic programme closes, and the hash ranges that split a length's documents.
 GAP, RANGES = 1 << 15, 1024
+#: Equal rows that are numbered in one task; more are dealt over so many.
+EQUALS, SALTS = 100_000, 64
 
 
 def words(text: Column) -> Column:
@@ -96,8 +99,22 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np
 
 
 def light(docs: DataFrame, seed: int) -> DataFrame:
-    """``docs`` with ``size`` and ``draw``, the seeded hash that orders a length's documents."""
-    return docs.withColumn("size", words(F.col("text"))).withColumn("draw", F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))).withColumn("range", F.pmod(F.shiftright("draw", 20), F.lit(RANGES)).cast("int"))
+    """``docs`` (``doc_id, source, text`` and any others) with ``size`` and ``draw``, the seeded hash that orders a length's documents.
+
+    Equal rows are numbered, so that each has a draw of its own; which of them has which is all the same.
+    """
+    told = [F.col("doc_id").cast("string"), F.col("doc_id").isNull(), F.col("source"), F.col("source").isNull(), F.col("text"), F.col("text").isNull()]
+    rows = docs.withColumn("size", words(F.col("text"))).withColumn("__key", F.xxhash64(F.lit(seed), *told))
+    same = checkpointed(docs.select(F.xxhash64(F.lit(seed), *told).alias("__key")).groupBy("__key").agg(F.count("*").alias("__n")).where("__n > 1"))
+    if same.take(1):
+        rows = rows.join(bounded(same), "__key", "left")
+        many = rows.where("__n IS NOT NULL").withColumn("__salt", F.when(F.col("__n") > EQUALS, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))).otherwise(F.lit(0)))
+        many = many.withColumn("__no", F.row_number().over(Window.partitionBy("__key", "__salt").orderBy("__key")) * SALTS + F.col("__salt")).drop("__salt")
+        rows = rows.where("__n IS NULL").withColumn("__no", F.lit(0).cast("long")).unionByName(many).drop("__n")
+    else:
+        rows = rows.withColumn("__no", F.lit(0).cast("long"))
+    draw = F.xxhash64("__key", "__no")
+    return rows.withColumn("draw", draw).withColumn("range", F.pmod(F.shiftright("draw", 20), F.lit(RANGES)).cast("int")).drop("__key", "__no")
 
 
 KEYS = ["nameless", "named", "size"]
@@ -109,7 +126,7 @@ def named(rows: DataFrame) -> DataFrame:
 
 def quotas(rows: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
     """For each source, length and hash range: the source's size and target, ``whole`` repeats, and ``cutoff``, the largest
-    hash that is taken once more. Rows with the same hash (repeated rows) are taken together.
+    hash that is taken once more.
 
     Sources are few next to documents: their names and sizes come to the driver, nothing else does.
     """
@@ -156,7 +173,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 42) -> DataFrame:
-    """The rows that the mix takes, each as often as it is taken; a row that is not taken goes. Texts move once."""
-    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))
+    """The rows that the mix takes, each as often as it is taken; a row that is not taken goes. Texts move once.
+
+    Null texts have size 0 and stay; a null source is a source; repeated rows are documents of their own; all columns stay.
+    """
+    rows = docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     quota = quotas(checkpointed(light(docs.select("doc_id", "source", "text"), seed).drop("text")), weights, cap)
     return taken(light(rows, seed), quota).where("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")

@@ -36,18 +36,19 @@ import hashlib
 import os
 import re
 import tempfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from touchline.llm.common import bounded, checkpointed, read
 
 LENGTH, GRAM = 400, 64
 #: The same in words, for passages.
-WORDS, WORD_GRAM = 50, 8
+WORDS, WORD_GRAM = 50, 16
 #: Places of one gram that a task takes as they are; short documents in one collection; window starts handled at a time.
 GROUP_ROWS, COLLECTION, CHUNK = 20_000, 20_000, 1 << 19
 #: Neighbouring windows that travel together where a gram is crowded.
@@ -55,7 +56,9 @@ PIECE = 16
 #: Places of one gram that a task sends to where all of that gram meet, before it deals the rest over SALTS - 1 other parts.
 SALT_AFTER, SALTS = 16, 64
 #: Records of a stream that are read and written at a time, and words that a worker remembers the symbols of.
-BLOCK_RECORDS, CACHED_WORDS = 1 << 16, 800_000
+BLOCK_RECORDS, CACHED_WORDS = 1 << 16, 150_000
+#: Rows of a batch that are Python objects at a time.
+SLICE = 1000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -110,6 +113,29 @@ def anchor_rows(texts: list[bytes], length: int, gram: int, width: int = 1) -> I
         yield from _anchors(parts, length, gram)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+class Symbols(dict):
+    """The 8-byte symbol of each word, remembered for so many words.
+
+    A symbol is a 64-bit hash: two words of a corpus with a billion different words share one with a chance of 0.03.
+    """
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = symbol = hashlib.blake2b(word, digest_size=8).digest()
+        return symbol
+
+    def row(self, text: bytes) -> bytes:
+        """The symbols of a text's words: runs without ASCII white space."""
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split()))
+
+
 class Salter:
     """Deals the places of a gram that a task meets often.
 
@@ -336,19 +362,19 @@ def with_key(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("__raw", raw).withColumn("__key", F.substring(F.unhex(F.sha2("__raw", 256)), 1, 16))
 
 
-def repeats(rows: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS, salt_after: int = SALT_AFTER, width: int = 1) -> DataFrame:
+def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS, salt_after: int = SALT_AFTER, width: int = 1) -> DataFrame:
     """``(key, runs)`` for each distinct text that has repeated windows.
 
-    ``rows``: ``__key`` and ``__raw`` of all texts, read where they lie to find anchors; ``texts``: ``key``, ``raw``, keys distinct.
-    runs: arrays of (from, to) of repeated window starts in the text; neighbours may touch. Lengths and positions count
-    elements of ``width`` bytes.
+    ``rows``: ``__key`` and ``__raw`` of all texts, read where they lie to find anchors; only texts with a gram that occurs twice
+    move. runs: arrays of (from, to) of repeated window starts in the text; neighbours may touch. Lengths and positions count
+    elements of ``width`` bytes: 1, the texts' bytes, or 8, their words as symbols.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salter = Salter(salt_after)
-        for batch in batches:
-            keys = batch.column("__key")
-            for k, h, at, first, last in anchor_rows(batch.column("__raw").to_pylist(), length, gram, width):
+        salter, symbols = Salter(salt_after), Symbols()
+        for batch in slices(batches):
+            keys, raw = batch.column("__key"), batch.column("__raw").to_pylist()
+            for k, h, at, first, last in anchor_rows(raw if width == 1 else list(map(symbols.row, raw)), length, gram, width):
                 salt = pa.array(salter.salts(h, keys, k, first), pa.int32())
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(k)), *(pa.array(x, pa.int64()) for x in (h, at, first, last)), salt], ["key", "gram", "at", "first", "last", "salt"])
 
@@ -367,9 +393,10 @@ def repeats(rows: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The stretch of each place, or for crowded grams its pieces, with a digest."""
         rows: list[tuple] = []
-        size = 0
-        for batch in batches:
+        size, symbols = 0, Symbols()
+        for batch in slices(batches):
             for key, raw, spots in zip(*(batch.column(c).to_pylist() for c in ("key", "raw", "places")), strict=True):
+                raw = raw if width == 1 else symbols.row(raw)
                 for p in spots:
                     if p["n"] <= group_rows:
                         pieces = [(p["first"], raw[p["first"] * width : (p["last"] + length) * width], b"")]
@@ -394,7 +421,8 @@ def repeats(rows: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int =
 
     def segments(some: DataFrame) -> DataFrame:
         wanted = some.groupBy("key").agg(F.collect_list(F.struct("gram", "at", "first", "last", "n")).alias("places"))
-        return texts.select("key", "raw").join(wanted, "key").mapInArrow(cut, "gram long, sub binary, key binary, at long, first long, segment binary")
+        texts = rows.join(bounded(some.select(F.col("key").alias("__key")).distinct()), "__key", "left_semi").groupBy(F.col("__key").alias("key")).agg(F.first("__raw").alias("raw"))
+        return texts.join(wanted, "key").mapInArrow(cut, "gram long, sub binary, key binary, at long, first long, segment binary")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Collections of whole grams, in order of gram."""
@@ -453,8 +481,31 @@ def repeats(rows: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int =
     return found
 
 
+def repeated_spans(docs: DataFrame, text: str, length: int, gram: int, group_rows: int = GROUP_ROWS, salt_after: int = SALT_AFTER, width: int = 1) -> DataFrame:
+    """``__key, spans`` of each distinct text that loses something: half-open ranges, maximal, in order, in elements of ``width`` bytes.
+
+    A text of ``length`` or more that occurs twice is one span.
+    """
+    rows = with_key(docs, text).select("__key", "__raw")
+    found = repeats(rows, length, gram, group_rows, salt_after, width)
+    # Texts that occur twice: their size alone counts.
+    copied = checkpointed(rows.groupBy("__key").count().where("count > 1").select("__key"))
+    n = F.first(word_count(F.col("__raw").cast("string")) if width == 8 else F.length("__raw").cast("long")).alias("n")
+    whole = rows.join(bounded(copied), "__key", "left_semi").groupBy(F.col("__key").alias("key")).agg(n).where(F.col("n") >= length)
+    whole = whole.select("key", F.array(F.struct(F.lit(0).cast("long").alias("start"), (F.col("n") - length).alias("stop"))).alias("runs"))
+    every = found.unionByName(whole).groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        for batch in slices(batches):
+            out = [[{"start": a, "stop": b} for a, b in spans(runs, length)] for runs in batch.column("runs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, kind)], ["__key", "spans"])
+
+    return every.mapInArrow(merged, "__key binary, spans array<struct<start: long, stop: long>>")
+
+
 def spans(runs: list, length: int) -> list[tuple[int, int]]:
-    """Maximal byte spans covered by the windows that start in the runs."""
+    """Maximal spans covered by the windows that start in the runs."""
     out: list[list[int]] = []
     for s, t in sorted((r["start"], r["stop"]) for r in runs):
         if out and s <= out[-1][1]:
@@ -464,34 +515,41 @@ def spans(runs: list, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+@F.arrow_udf(BinaryType())
+def kept_bytes(raw: pa.Array, spans_: pa.Array) -> pa.Array:
+    """The bytes outside the spans."""
+    out = []
+    for text, found in zip(raw, spans_, strict=True):
+        text, ends = text.as_py(), [0, *(x for s in found.as_py() for x in (s["start"], s["stop"]))]
+        out.append(b"".join(text[a:b] for a, b in zip(ends[::2], [*ends[1::2], len(text)], strict=True)))
+    return pa.array(out, pa.binary())
+
+
+def split(docs: DataFrame, text: str, lost: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that lose nothing, which stay where they are, and those that lose ``__spans``, both with ``__raw``."""
+    lost = checkpointed(lost.withColumnRenamed("spans", "__spans"))
+    rows = with_key(docs, text).join(bounded(lost, weight=F.size("__spans") * 2 + 3), "__key", "left").drop("__key")
+    return rows.where("__spans IS NULL"), rows.where("__spans IS NOT NULL")
+
+
 def strip_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS, made: dict[str, Column] | None = None, salt_after: int = SALT_AFTER) -> DataFrame:
     """``docs`` with ``n_bytes``, ``spans`` (removed byte ranges, half open) and ``kept`` (the remaining bytes) in place of the text.
 
-    ``made``: columns over these three to return instead of them; made once for each distinct text, before rows are joined.
+    ``made``: columns over these three to return instead of them. Columns of these names are replaced.
     """
     if gram & (gram - 1) or length < gram + 8 or length % 8:
         raise ValueError("gram must be a power of two, length a multiple of 8 and at least 8 over gram")
-    rows = with_key(docs, text)
-    texts = rows.groupBy(F.col("__key").alias("key")).agg(F.first("__raw").alias("raw"), F.count("*").alias("copies"))
-    found = repeats(rows, texts, length, gram, group_rows, salt_after)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cuts, kept = [], []
-            for raw, copies, runs in zip(*(batch.column(c).to_pylist() for c in ("raw", "copies", "runs")), strict=True):
-                out = [(0, len(raw))] if copies > 1 and len(raw) >= length else spans(runs or [], length)
-                ends = [0, *(x for s in out for x in s), len(raw)]
-                cuts.append([{"start": s, "stop": e} for s, e in out])
-                kept.append(b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
-            span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(r) for r in batch.column("raw").to_pylist()], pa.int64()), pa.array(cuts, span), pa.array(kept, pa.binary())], ["__key", "n_bytes", "spans", "kept"])
-
-    done = texts.join(found, "key", "left").mapInArrow(apply, "__key binary, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
-    names = ["n_bytes", "spans", "kept"] if made is None else list(made)
-    if made is not None:
-        done = done.select("__key", *(c.alias(n) for n, c in made.items()))
-    others = [c for c in docs.columns if c != text and c not in names]
-    return rows.select(*others, "__key").join(done, "__key").drop("__key")
+    same, changed = split(docs, text, repeated_spans(docs.select(text), text, length, gram, group_rows, salt_after))
+    names = ["n_bytes", "spans", "kept"]
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in [*names, *(made or ())]]
+    size, none = F.length("__raw").cast("long").alias("n_bytes"), F.array().cast("array<struct<start: bigint, stop: bigint>>").alias("spans")
+    made = {n: F.col(n) for n in names} if made is None else made
+    told = [c.alias(n) for n, c in made.items()]
+    # What is made of the three is made before the rows meet again.
+    return (
+        same.select(*others, size, none, F.col("__raw").alias("kept")).select(*others, *told)
+        .unionByName(changed.select(*others, size, F.col("__spans").alias("spans"), kept_bytes("__raw", "__spans").alias("kept")).select(*others, *told))
+    )
 
 
 def removed(spans_: Column) -> Column:
@@ -503,33 +561,6 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), made=made).select("doc_id", *made)
 
 
-class Symbols(dict):
-    """The 8-byte symbol of each word met, remembered."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = symbol = hashlib.blake2b(word, digest_size=8).digest()
-        return symbol
-
-
-def in_words(docs: DataFrame, text: str) -> DataFrame:
-    """``__key`` and ``__raw`` of each row: the text's key, and its words (runs without ASCII white space) as symbols.
-
-    A symbol is a 64-bit hash: two words of a corpus with a billion different words share one with a chance of 0.03.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Symbols()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                raw = [b"".join(map(known.__getitem__, t.split())) for t in part.column("__raw").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array(raw, pa.binary())], ["__key", "__raw"])
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-
-    return with_key(docs, text).select("__key", "__raw").mapInArrow(run, "__key binary, __raw binary")
-
-
 def passages(docs: DataFrame, text: str = "text", length: int = WORDS, gram: int = WORD_GRAM, group_rows: int = GROUP_ROWS, salt_after: int = SALT_AFTER) -> DataFrame:
     """``__key, spans`` of each distinct text that holds a passage of ``length`` words that starts anywhere else too.
 
@@ -537,24 +568,7 @@ def passages(docs: DataFrame, text: str = "text", length: int = WORDS, gram: int
     """
     if gram & (gram - 1) or length <= gram:
         raise ValueError("gram must be a power of two and less than length")
-    rows = in_words(docs, text)
-    texts = rows.groupBy(F.col("__key").alias("key")).agg(F.first("__raw").alias("raw"))
-    found = repeats(rows, texts, length, gram, group_rows, salt_after, 8)
-    whole = with_key(docs, text).groupBy(F.col("__key").alias("key")).agg(F.count("*").alias("copies"), F.first(word_count(F.col(text))).alias("n")).where((F.col("copies") > 1) & (F.col("n") >= length))
-    whole = whole.select("key", F.array(F.struct(F.lit(0).cast("long").alias("start"), (F.col("n") - length).alias("stop"))).alias("runs"))
-    every = found.unionByName(whole).groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    ordered = F.array_sort("runs")
-    # Runs of window starts, in order, become maximal spans: one that starts within the last one lengthens it.
-    none = F.array().cast("array<struct<start: bigint, stop: bigint>>")
-    last = lambda a: F.element_at(a, -1)
-    span = lambda s, e: F.struct(s.alias("start"), e.alias("stop"))
-
-    def grow(a: Column, r: Column) -> Column:
-        e = r["stop"] + length
-        longer = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(span(last(a)["start"], F.greatest(last(a)["stop"], e))))
-        return F.when((F.size(a) > 0) & (r["start"] <= F.coalesce(F.get(a, F.size(a) - 1)["stop"], F.lit(-1))), longer).otherwise(F.concat(a, F.array(span(r["start"], e))))
-
-    return every.select(F.col("key").alias("__key"), F.aggregate(ordered, none, grow).alias("spans"))
+    return repeated_spans(docs.select(text), text, length, gram, group_rows, salt_after, 8)
 
 
 def word_count(text: Column) -> Column:
@@ -575,15 +589,9 @@ def without_words(text: str, spans_: list[tuple[int, int]]) -> str:
     return "".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True))
 
 
-def cutter() -> Callable:
-    @F.arrow_udf("string")
-    def cut(text: pa.Array, spans_: pa.Array) -> pa.Array:
-        out = []
-        for t, found in zip(text.to_pylist(), spans_.to_pylist(), strict=True):
-            out.append(without_words(t, [(s["start"], s["stop"]) for s in found]))
-        return pa.array(out, pa.string())
-
-    return cut
+@F.arrow_udf(StringType())
+def kept_words(text: pa.Array, spans_: pa.Array) -> pa.Array:
+    return pa.array([without_words(t.as_py(), [(s["start"], s["stop"]) for s in found.as_py()]) for t, found in zip(text, spans_, strict=True)], pa.string())
 
 
 def without_repeats(docs: DataFrame, length: int = WORDS) -> DataFrame:
@@ -592,12 +600,9 @@ def without_repeats(docs: DataFrame, length: int = WORDS) -> DataFrame:
     Every copy of a passage goes, the first one as well. What is cut goes from a word's start to the start of the next word that
     stays. A text that loses nothing, null included, is unchanged; ``n_chars``, where it is a column, is counted anew.
     """
-    lost = checkpointed(passages(docs.select("text"), length=length))
-    lost = bounded(lost.withColumnRenamed("spans", "__spans"), weight=F.size("__spans") * 2 + 3)
-    # Texts that lose nothing stay where they are.
-    rows = with_key(docs, "text").drop("__raw").join(lost, "__key", "left")
-    same = rows.where("__spans IS NULL").select(docs.columns)
-    changed = rows.where("__spans IS NOT NULL").withColumn("text", cutter()("text", "__spans"))
+    same, changed = split(docs, "text", passages(docs, length=length))
+    changed = changed.withColumn("text", kept_words("text", "__spans"))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return same.unionByName(changed.select(docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return same.select(columns).unionByName(changed.select(columns))

@@ -180,7 +180,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = 40) -> ToxicityModel:
-    """Learns from ``docs`` (``doc_id, text, label`` 0 or 1): word counts from all rows, the chain from about ``sample`` of them."""
+    """Learns from ``docs`` (``doc_id, text, label`` 0 or 1): word counts from all rows, the chain from about ``sample`` of them.
+
+    The sample is the rows of the smallest hashes of doc_id and text, and never more than twice as many as asked for. At most
+    ``VOCABULARY`` words, those that tell most, have a weight of their own: the size of the model, whatever that of the corpus.
+    """
     rows = docs.where("label IN (0, 1)").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
     # One row of each distinct text counts. Texts stay where they are: hashes and ids alone are shuffled.
     firsts = rows.select("doc_id", F.xxhash64("text").alias("key"), "label").groupBy("key", "label").agg(F.min("doc_id").alias("doc_id"))
@@ -192,8 +196,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, rounds: int = 40) -> ToxicityMode
     # A word's label: chance would have to be off by six standard deviations.
     labelled = np.array([z >= 6 and share >= 0.5 for _, z, share in telling] + [False])
     share = F.when(F.col("label") == 1, min(1.0, sample / 2 / sizes[1])).otherwise(min(1.0, sample / 2 / sizes[0]))
-    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", "text"), F.lit(42)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = sorted((r[0] or "", r[1], r[2]) for r in rows.where(draw < share).select("doc_id", "text", "label").collect())
+    drawn = rows.withColumn("hash", F.xxhash64("doc_id", "text", F.lit(42))).where(F.pmod("hash", F.lit(1 << 30)) / float(1 << 30) < share)
+    drawn = drawn.orderBy("hash", "doc_id", "text", "label").limit(2 * sample).select("doc_id", "text", "label")
+    chosen = sorted((r[0] or "", r[1], r[2]) for r in drawn.collect())
     texts, label = [r[1] for r in chosen], np.array([r[2] for r in chosen])
     codes, lengths = model.coded(texts)
     owner = np.repeat(np.arange(len(texts)), lengths)
