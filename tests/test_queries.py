@@ -15,6 +15,7 @@ FAST = [
     "candles", "scan_csv_ohlc", "clean_time", "drop_invalid", "upsert_append_dedup", "explore_row", "pip_size", "filename_config", "grid_presets", "first_touch", "spread_in_tp", "balanced_sample", "sma", "ema", "rsi",
     "macd_hist", "atr", "adx", "candle_patterns", "zigzag_sr", "cci", "session", "fractal_sr", "bfill_sr", "vol_regime", "place_pct_dist_bps", "relational", "rolling_zscore", "combinations", "consolidate", "rule_simplify", "rule_zeroing", "matrix_encode",
     "time_split", "metrics", "rule_eval", "level_sltp", "deep_log", "max_drawdown", "report_regime", "pass_sort", "regime_unpack", "position_limit", "tick_to_candle",
+    "incremental_scan", "prepare_missing", "processed_log", "select_inputs", "sltp_bps_columns",
 ]
 
 

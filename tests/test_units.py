@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from touchline.functions import folds
 from touchline.operators import backtest, enrich, model, rules, simulation
+from touchline.plans import layout
 from touchline.sources import candles as K
+from touchline.sources import tables
 
 BAR = "instrument string, bar_idx long, time timestamp_ntz, open double, high double, low double, close double"
 
@@ -44,9 +46,53 @@ def test_swings_and_wilder():
     assert folds.wilder(np.array([1.0, 2, 3, 4]), 2, 0).tolist()[1:] == [1.5, 2.25, 3.125]
 
 
-def test_rule_texts():
-    assert rules.simplify("`a` > 1.5 and `a` > 2.0 and `b` <= 1e-05") == "`a` > 2.0 and `b` <= 1e-05"
-    assert rules.simplify("") == ""
+def test_swings_of_a_walk():
+    """Every value against the definition, bar by bar: the extreme of the leg that the last turn before the bar ended."""
+    rng = np.random.default_rng(5)
+    close = np.cumsum(rng.normal(size=3000)).astype(np.float32)
+    high, low, limit = close + np.float32(0.4), close - np.float32(0.3), rng.uniform(1, 6, 3000)
+    support, resistance = folds.swings(high.astype(float), low.astype(float), limit)
+    turns, start, up = [], 0, True
+    for i in range(1, 3000):
+        leg = (high if up else -low)[start:i].max()
+        new = (high if up else -low)[i]
+        if new <= leg and (low if up else -high)[i] < leg - limit[i]:
+            turns.append((i, up, leg if up else -leg))
+            start, up = i, not up
+    assert len(turns) > 50
+    for i in (1, 7, 100, 101, 1500, 2999):
+        for top, got, first in ((True, resistance, high[0]), (False, support, low[0])):
+            assert got[i] == next((x for at, side, x in reversed(turns) if at <= i and side == top), first)
+
+
+def test_rule_texts(spark):
+    assert rules.conditions("`a b` > 1.5 and `c` <= -1e-05") == [("a b", ">", 1.5), ("c", "<=", -1e-05)] and rules.conditions("") == []
+    texts = ["`a` > 1.5 and `a` > 2.0 and `b` <= 1e-05", "", None, "`z` <= 3 and `a` > -1 and `z` <= 2.5 and `z` > 0"]
+    got = [r[0] for r in rules.simplified(spark.createDataFrame([(t,) for t in texts], "market_rule string")).collect()]
+    assert got == ["`a` > 2.0 and `b` <= 1.0E-5", "", "", "`a` > -1.0 and `z` <= 2.5 and `z` > 0.0"]
+    assert all(rules.conditions(g) for g in got if g)
+
+
+def test_mined_rules_leave_known_ones_out(spark):
+    rows = [("k", float(i), int(i > 120)) for i in range(200)]
+    joined = spark.createDataFrame(rows, "key string, f double, trade_count int")
+    found = rules.mine(joined, ["f"], depth=3, least=10)
+    assert [(r.key, r.market_rule, r.n_candles) for r in found.collect()] == [("k", "`f` > 120.5", 79)]
+    known = spark.createDataFrame([("k", ["`f` > 120.5"])], "key string, rules array<string>")
+    assert rules.mine(joined, ["f"], known, depth=3, least=10).count() == 0
+
+
+def test_split_and_metrics_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"2024-01-{1 + i // 7:02d} {i % 7:02d}:00:00", int(rng.integers(0, 2)), float(rng.choice([0.0, 1.0, 0.25, rng.random()]))) for i in range(150)]
+    df = spark.createDataFrame(rows, "time string, target int, score double").selectExpr("CAST(time AS timestamp) AS entry_time", "target", "score")
+    split = model.time_split(df.union(df)).collect()
+    assert len(split) == 300 and {r.entry_time for r in split if r.validation} == set(sorted({r.entry_time for r in split})[-30:])
+    y, s = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    a, b = s[y == 1][:, None], s[y == 0][None, :]
+    got = model.metrics(df).first()
+    assert got.roc_auc == pytest.approx(((a > b) + 0.5 * (a == b)).mean()) and got.accuracy == pytest.approx(((s > 0.5) == y).mean())
+    assert model.bps_columns(["sl_dist_to_a_bps", "tp_dist_to_a_bps", "sl_dist_to_a_atr", "x"]) == (["sl_dist_to_a_bps"], ["tp_dist_to_a_bps"])
 
 
 def test_tree_finds_the_split():
@@ -129,3 +175,24 @@ def test_scaling_in_blocks(spark, monkeypatch):
     filled = {(r.instrument, r.bar_idx): r.x for r in enrich.rolling_zscore(df, ["x"], window=5, least=2).collect()}
     assert filled["i0", 3] == by["i0", 4].x and filled["i0", 20] == by["i0", 28].x
     assert enrich.rolling_zscore(df.limit(0), ["x"]).count() == 0
+
+
+def test_selection():
+    names = ["EURUSD15", "EURUSD5", "XAUUSD60"]
+    assert tables.selected(names, "all") == ["EURUSD5", "EURUSD15", "XAUUSD60"] and tables.selected(names, "3, 1, EURUSD5") == ["XAUUSD60", "EURUSD5"]
+    with pytest.raises(ValueError, match="no such choice"):
+        tables.selected(names, "4")
+
+
+def test_all_layers_in_order(spark, tmp_path):
+    """One run of each tail over small candles: every layer is written and read again, and trades agree from end to end."""
+    c = K.event_candles(spark, "/root/testdata/sf0.01", 60)
+    run = layout.Pipeline(spark, layout.Layout(str(tmp_path)), [0.0005, 0.002], [0.001, 0.004], 24)
+    got = run.run(c, least=20)
+    assert got["trades"].count() > 1000 and got["enriched"].count() <= got["trades"].count()
+    assert got["combinations"].where("num_candles < 20").count() == 0 and got["targets"].agg(F.sum("trade_count")).first()[0] > 0
+    assert set(got["strategies"].columns) == {"key", "market_rule", "n_candles", "avg_density"}
+    matrix = run.run(c, tail="xgb")["matrix"]
+    assert matrix.where("validation").count() > 0 and matrix.count() == got["enriched"].join(got["gold"].select("instrument", F.col("time").alias("entry_time")), ["instrument", "entry_time"], "left_semi").count()
+    with pytest.raises(ValueError, match="unknown tail"):
+        run.run(c, tail="x")

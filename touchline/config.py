@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 # Indicator periods, regimes, sessions, pip sizes and thresholds of the strategies' data model.
 SMA_PERIODS = (20, 50, 100, 200)
@@ -29,25 +30,25 @@ BACKTEST_BARS, CHUNK = 500, 5000
 
 @dataclass(frozen=True)
 class Grid:
-    """Stop-loss and take-profit ratios, and how many bars a trade may last. Bounds are in units of ``step``."""
+    """Stop-loss and take-profit ratios from a start to before an end, and how many bars a trade may last."""
 
     step: float
-    stops: tuple[int, int]
-    takes: tuple[int, int]
+    stops: tuple[float, float]
+    takes: tuple[float, float]
     bars: int
 
-    def ratios(self, bounds: tuple[int, int]) -> list[float]:
-        """Start plus multiples of the step, as a half-open range with half a step to spare."""
-        start = bounds[0] * self.step
-        return [start + i * self.step for i in range(bounds[1] - bounds[0] + 1)]
+    def ratios(self, bounds: tuple[float, float]) -> list[float]:
+        """The start plus multiples of the step, up to before the end."""
+        start, end = bounds
+        return [start + i * self.step for i in range(ceil((end - start) / self.step - 1e-9))]
 
 
-#: Grid presets by timeframe in minutes.
+# Grid presets by timeframe in minutes.
 GRIDS = {
-    1: Grid(0.0005, (1, 20), (1, 40), 200),
-    5: Grid(0.0005, (2, 30), (2, 60), 300),
-    15: Grid(0.001, (2, 25), (2, 50), 400),
-    30: Grid(0.001, (3, 35), (3, 70), 500),
-    60: Grid(0.001, (5, 50), (5, 100), 600),
-    240: Grid(0.001, (10, 100), (10, 200), 800),
+    1: Grid(0.0005, (0.0005, 0.0105), (0.0005, 0.0205), 200),
+    5: Grid(0.0005, (0.001, 0.0155), (0.001, 0.0305), 300),
+    15: Grid(0.001, (0.002, 0.0255), (0.002, 0.0505), 400),
+    30: Grid(0.001, (0.003, 0.0355), (0.003, 0.0705), 500),
+    60: Grid(0.001, (0.005, 0.0505), (0.005, 0.1005), 600),
+    240: Grid(0.001, (0.010, 0.1005), (0.010, 0.2005), 800),
 }

@@ -68,26 +68,37 @@ def directional(high: np.ndarray, low: np.ndarray, close: np.ndarray, period: in
     return wilder(dx, period, period) if n > 2 * period else np.full(n, np.nan)
 
 
+def turn(peak: np.ndarray, back: np.ndarray, threshold: np.ndarray, start: int) -> int | None:
+    """The first bar after ``start`` without a new extreme whose other side lies below the extreme so far by more than the threshold.
+
+    Searched in stretches that double, so that a leg costs its own length.
+    """
+    at, best, width = start + 1, peak[start], 64
+    while at < len(peak):
+        stop = min(at + width, len(peak))
+        so_far = np.maximum.accumulate(np.append(best, peak[at:stop]))
+        turned = (peak[at:stop] <= so_far[:-1]) & (back[at:stop] < so_far[:-1] - threshold[at:stop])
+        if turned.any():
+            return at + int(turned.argmax())
+        at, best, width = stop, so_far[-1], 2 * width
+    return None
+
+
 def swings(high: np.ndarray, low: np.ndarray, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running support and resistance: the last confirmed swing low and high.
 
-    An extreme is confirmed when price turns back from it by more than that bar's threshold. Single precision; the first
-    row has no value.
+    Legs rise and fall in turn, the first one rises. A leg's extreme is confirmed by the bar that turns back from it by more than
+    that bar's threshold, and the next leg starts at that bar: a falling leg is a rising one of the mirrored prices. Prices are in
+    single precision; the first row has no value, and what is confirmed before any swing is the first bar's own low and high.
     """
     high, low = high.astype(np.float32), low.astype(np.float32)
-    support, resistance = np.full(len(high), np.nan, np.float32), np.full(len(high), np.nan, np.float32)
-    if not len(high):
-        return support, resistance
-    rising, extreme, floor, ceiling = True, high[0], low[0], high[0]
-    for i in range(1, len(high)):
-        if rising:
-            if high[i] > extreme:
-                extreme = high[i]
-            elif low[i] < extreme - threshold[i]:
-                rising, ceiling, extreme = False, extreme, low[i]
-        elif low[i] < extreme:
-            extreme = low[i]
-        elif high[i] > extreme + threshold[i]:
-            rising, floor, extreme = True, extreme, high[i]
-        support[i], resistance[i] = floor, ceiling
-    return support, resistance
+    levels = [np.full(len(high), x[0] if len(x) else np.nan, np.float32) for x in (low, high)]
+    sides, start, leg = ((high, low, 1), (-low, -high, 0)), 0, 0
+    while len(high) and (bar := turn(*sides[leg][:2], threshold, start)) is not None:
+        peak, _, level = sides[leg]
+        extreme = peak[start:bar].max()
+        levels[level][bar:] = extreme if level else -extreme
+        start, leg = bar, 1 - leg
+    for x in levels:
+        x[:1] = np.nan
+    return levels[0], levels[1]

@@ -59,18 +59,13 @@ def enrich(trades: DataFrame, features: DataFrame, levels: list[str], atr: str =
 
 
 def relational(features: DataFrame) -> DataFrame:
-    """``{column}_rel_{anchor}`` for all anchors, then without the absolute columns. A zero anchor gives null."""
-    made: dict[str, Column] = {}
-    gone: set[str] = {"volume"}
-    for anchor, pattern in ANCHORS:
-        if anchor not in features.columns:
-            continue
-        for target in [*features.columns, *made]:
-            if re.match(pattern, target):
-                gone |= {target, anchor}
-                if target != anchor:
-                    made[f"{target}_rel_{anchor}"] = F.try_divide(C(target) - C(anchor), C(anchor))
-    return features.withColumns(made).drop(*gone)
+    """``{column}_rel_{anchor}`` for all anchors, then without the absolute columns. A zero anchor gives null.
+
+    Which columns go with which anchor follows from the schema alone.
+    """
+    present = [(column, anchor) for anchor, pattern in ANCHORS if anchor in features.columns for column in features.columns if re.match(pattern, column)]
+    relations = {f"{column}_rel_{anchor}": F.try_divide(C(column) - C(anchor), C(anchor)) for column, anchor in present if column != anchor}
+    return features.withColumns(relations).drop("volume", *{name for pair in present for name in pair})
 
 
 def live_relational(features: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 C = F.col
+#: Steps of scores from 0 to 1 that are ranked apart.
+STEPS = 4096
 DROPPED = ("entry_time", "exit_time", "entry_price", "sl_price", "tp_price", "outcome", "trade_type", "exit_idx", "entry_idx")
 
 
@@ -17,15 +19,22 @@ def matrix(enriched: DataFrame, gold: DataFrame) -> DataFrame:
     return out.drop(*(c for c in DROPPED if c != "entry_time"))
 
 
+def bps_columns(columns: list[str]) -> tuple[list[str], list[str]]:
+    """The columns that tell the distance of stops, and of takes, to a level in basis points."""
+    return tuple([c for c in columns if c.startswith(f"{side}_dist_to_") and c.endswith("_bps")] for side in ("sl", "tp"))
+
+
 def time_split(rows: DataFrame, share: float = 0.2) -> DataFrame:
     """``validation``: the last ``share`` of distinct entry times, at least one.
 
-    Only distinct times are ranked, candles rather than trades.
+    Distinct times are counted by day; days alone are ranked in one task, and the times of a day within it.
     """
-    times = rows.select("entry_time").distinct()
-    ranked = times.withColumn("__n", F.row_number().over(Window.orderBy("entry_time"))).withColumn("__all", F.count("*").over(Window.partitionBy()))
-    late = ranked.select("entry_time", (C("__n") > C("__all") - F.greatest(F.lit(1), F.floor(C("__all") * share))).alias("validation"))
-    return rows.join(late, "entry_time")
+    times = rows.select("entry_time").distinct().withColumn("__day", F.to_date("entry_time"))
+    days = times.groupBy("__day").agg(F.count("*").alias("__times"))
+    ranked = days.withColumn("__before", F.sum("__times").over(Window.orderBy("__day")) - C("__times")).withColumn("__all", F.sum("__times").over(Window.partitionBy()))
+    place = C("__before") + F.row_number().over(Window.partitionBy("__day").orderBy("entry_time"))
+    late = times.join(ranked.drop("__times"), "__day").withColumn("validation", place > C("__all") - F.greatest(F.lit(1), F.floor(C("__all") * share)))
+    return rows.join(late.select("entry_time", "validation"), "entry_time")
 
 
 def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -52,11 +61,14 @@ def predict(model, rows: DataFrame, features: list[str]) -> DataFrame:
 def metrics(scored: DataFrame) -> DataFrame:
     """Accuracy, precision and recall at one half, and the area under the ROC curve from rank sums with mean ranks.
 
-    ``scored``: ``target`` and ``score``. Ranks come from counts of distinct scores; a running sum is taken over those alone.
+    ``scored``: ``target`` and ``score``. Ranks come from counts of distinct scores, which run on within steps of 1/``STEPS``; the
+    steps' own sums alone meet in one task.
     """
-    counts = scored.groupBy("score").agg(F.sum(C("target").cast("long")).alias("p"), F.count("*").alias("n"))
-    running = F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("rank", running - (C("n") - 1) / 2)
+    counts = scored.groupBy("score").agg(F.sum(C("target").cast("long")).alias("p"), F.count("*").alias("n")).withColumn("step", F.floor(C("score") * STEPS))
+    steps = counts.groupBy("step").agg(F.sum("n").alias("__n"))
+    steps = steps.select("step", (F.sum("__n").over(Window.orderBy("step")) - C("__n")).alias("before"))
+    running = F.sum("n").over(Window.partitionBy("step").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("running", running).join(steps, "step").withColumn("rank", C("before") + C("running") - (C("n") - 1) / 2)
     hit = C("score") > 0.5
     total = ranked.agg(
         F.sum("p").alias("pos"),

@@ -2,36 +2,43 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline import config
 
 C = F.col
-CONDITION = re.compile(r"`(.+?)`\s*(<=|>)\s*(-?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?)")
 
 
-def simplify(rule: str) -> str:
-    """The tightest bound of each feature and side, in order of their text."""
-    bounds: dict[tuple[str, str], float] = {}
-    for feature, sign, value in CONDITION.findall(rule):
-        at, tight = (feature, sign), min if sign == "<=" else max
-        bounds[at] = tight(bounds.get(at, float(value)), float(value))
-    return " and ".join(sorted(f"`{f}` {s} {v}" for (f, s), v in bounds.items()))
+def conditions(rule: str) -> list[tuple[str, str, float]]:
+    """A rule's conditions as (feature, sign, bound)."""
+    out = []
+    for part in rule.split(" and ") if rule else ():
+        sign = "<=" if "<=" in part else ">"
+        feature, bound = part.rsplit(sign, 1)
+        out.append((feature.strip().strip("`"), sign, float(bound)))
+    return out
 
 
 def simplified(rules: DataFrame, column: str = "market_rule") -> DataFrame:
-    """``simplify`` over a column, in SQL: bounds as rows, tightened by feature and side, and joined again."""
-    numbered = rules.withColumn("__id", F.monotonically_increasing_id())
-    found = numbered.select("__id", F.explode(F.expr(rf"regexp_extract_all({column}, '`[^`]+`\\s*(?:<=|>)\\s*-?[0-9.]+(?:[eE][-+]?[0-9]+)?', 0)")).alias("c"))
-    parts = found.select("__id", F.regexp_extract("c", "`([^`]+)`", 1).alias("f"), F.regexp_extract("c", r"(<=|>)", 1).alias("s"), F.regexp_extract("c", r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)$", 1).cast("double").alias("v"))
-    tight = parts.groupBy("__id", "f", "s").agg(F.when(C("s") == "<=", F.min("v")).otherwise(F.max("v")).alias("v"))
-    joined = tight.groupBy("__id").agg(F.concat_ws(" and ", F.array_sort(F.collect_list(F.concat(F.lit("`"), "f", F.lit("` "), "s", F.lit(" "), C("v").cast("string"))))).alias("__rule"))
-    return numbered.join(joined, "__id", "left").withColumn(column, F.coalesce("__rule", F.lit(""))).drop("__id", "__rule")
+    """Rules with the tightest bound of each feature and side alone, in order of their text: one projection, nothing moves."""
+    parts = F.filter(F.split(C(column), " and "), lambda p: F.trim(p) != "")
+
+    def parsed(part: Column) -> Column:
+        sign = F.when(part.contains("<="), "<=").otherwise(">")
+        return F.struct(F.trim(F.split_part(part, sign, F.lit(1))).alias("f"), sign.alias("s"), F.trim(F.split_part(part, sign, F.lit(2))).cast("double").alias("v"))
+
+    bounds = F.transform(parts, parsed)
+    sides = F.array_distinct(F.transform(bounds, lambda b: F.struct(b["f"].alias("f"), b["s"].alias("s"))))
+
+    def tightest(side: Column) -> Column:
+        own = F.transform(F.filter(bounds, lambda b: (b["f"] == side["f"]) & (b["s"] == side["s"])), lambda b: b["v"])
+        value = F.when(side["s"] == "<=", F.array_min(own)).otherwise(F.array_max(own))
+        return F.concat(side["f"], F.lit(" "), side["s"], F.lit(" "), value.cast("string"))
+
+    return rules.withColumn(column, F.coalesce(F.array_join(F.array_sort(F.transform(sides, tightest)), " and "), F.lit("")))
 
 
 def pending(catalogue: DataFrame, exhausted: DataFrame, processed: DataFrame, least: int = config.LEAST_CANDLES) -> DataFrame:
@@ -106,17 +113,18 @@ def mine(joined: DataFrame, features: list[str], known: DataFrame | None = None,
         rules = [] if rules is None else list(rules)
         for rule in rules:
             hit = np.ones(len(frame), bool)
-            for f, sign, value in CONDITION.findall(rule):
-                hit &= (frame[f] <= float(value)).to_numpy() if sign == "<=" else (frame[f] > float(value)).to_numpy()
+            for f, sign, value in conditions(rule):
+                hit &= (frame[f] <= value).to_numpy() if sign == "<=" else (frame[f] > value).to_numpy()
             y = np.where(hit, 0.0, y)
         if base <= 0 or y.sum() <= 0:
             found = []
         else:
-            found = [(simplify(r), n, m) for r, n, m in leaves(frame[features].to_numpy(float), y, features, depth, least) if r and m >= lift * base]
-        new = [(frame["key"].iloc[0], r, n, m) for r, n, m in found if r not in rules]
-        return pd.DataFrame(new, columns=["key", "market_rule", "n_candles", "avg_density"])
+            found = [(r, n, m) for r, n, m in leaves(frame[features].to_numpy(float), y, features, depth, least) if r and m >= lift * base]
+        return pd.DataFrame([(frame["key"].iloc[0], r, n, m) for r, n, m in found], columns=["key", "market_rule", "n_candles", "avg_density"])
 
-    return rows.select("key", "trade_count", "rules", *(C(f).cast("double") for f in features)).groupBy("key").applyInPandas(tree, "key string, market_rule string, n_candles long, avg_density double")
+    found = rows.select("key", "trade_count", "rules", *(C(f).cast("double") for f in features)).groupBy("key").applyInPandas(tree, "key string, market_rule string, n_candles long, avg_density double")
+    found = simplified(found)
+    return found if known is None else found.join(known.select("key", F.explode("rules").alias("market_rule")), ["key", "market_rule"], "left_anti")
 
 
 def evaluate(features: DataFrame, rules: list[tuple[str, str]], batch: int = 200) -> DataFrame:

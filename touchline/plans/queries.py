@@ -111,7 +111,10 @@ def sql(select: str, ctes: str = BASE) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    folder = folder or tempfile.mkdtemp(prefix="tables-")
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -201,9 +204,41 @@ def _upsert(spark, sf):
     return T.upsert(o.where("o_orderkey % 3 != 0").withColumn("src", F.lit("old")), o.where("o_orderkey % 2 = 0").withColumn("src", F.lit("new")), ["o_orderkey"])
 
 
-@query("incremental_scan", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("incremental_scan", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey % 3 <> 0)")
 def _incremental(spark, sf):
-    return T.pending_inputs(read(spark, sf, "customer").select("c_custkey"), read(spark, sf, "orders").select(C("o_custkey").alias("c_custkey")), "c_custkey")
+    done = read(spark, sf, "orders").where("o_orderkey % 2 = 0 AND o_custkey % 3 <> 0").select(C("o_custkey").alias("c_custkey"))
+    return T.pending_inputs(read(spark, sf, "customer").select("c_custkey"), done, "c_custkey")
+
+
+@query("prepare_missing", sql(f"SELECT instrument, bar_idx, CASE WHEN instrument < 'm' THEN close ELSE {mean('close', 20)} END IS NULL AS lacks, round(CASE WHEN instrument >= 'm' THEN {mean('close', 20)} END, 6) AS sma FROM candles"))
+def _prepare_missing(spark, sf):
+    """Features exist (as nulls) for some instruments; for the others they are made."""
+    all_ = candles(spark, sf)
+    done = all_.where("instrument < 'm'").select("instrument", "bar_idx", F.lit(False).alias("lacks"), F.lit(None).cast("double").alias("sma"))
+    make = lambda some: some.withColumn("sma", I.sma(20)).select("instrument", "bar_idx", C("sma").isNull().alias("lacks"), r("sma").alias("sma"))
+    return T.prepared(all_, done, "instrument", make)
+
+
+@query("processed_log", "SELECT DISTINCT 'k' || (l_suppkey % 40) AS key FROM lineitem WHERE l_suppkey % 40 < 25")
+def _processed_log(spark, sf):
+    """Two runs that overlap, and a third that finds nothing left of the first two."""
+    path, keys = scratch(spark), read(spark, sf, "lineitem").select(F.concat(F.lit("k"), C("l_suppkey") % 40).alias("key"), (C("l_suppkey") % 40).alias("n")).distinct()
+    for some in ("n < 15", "n BETWEEN 10 AND 24", "n < 25"):
+        T.mark_processed(T.pending_inputs(keys.where(some).select("key"), T.processed(spark, path), "key"), path)
+    return T.processed(spark, path)
+
+
+@query("select_inputs", "SELECT n_name AS name FROM (SELECT n_name, row_number() OVER (ORDER BY regexp_extract(n_name, '[0-9]+$')::INT) AS k FROM nation) WHERE k IN (2, 11) OR n_name = 'NATION_20'")
+def _select_inputs(spark, sf):
+    """Names come to the driver as an argument of the command line does: they name tables, not rows."""
+    names = [row[0] for row in read(spark, sf, "nation").select("n_name").collect()]
+    return spark.createDataFrame([(n,) for n in T.selected(names, "2, 11, NATION_20, 2")], "name string")
+
+
+@query("sltp_bps_columns", "SELECT unnest(['sl', 'sl', 'tp', 'tp']) AS side, unnest(['sl_dist_to_slow_bps', 'sl_dist_to_sma_bps', 'tp_dist_to_slow_bps', 'tp_dist_to_sma_bps']) AS name")
+def _bps_columns(spark, sf):
+    found = M.bps_columns(enriched(spark, sf).columns)
+    return spark.createDataFrame([(side, name) for side, names in zip(("sl", "tp"), found, strict=True) for name in sorted(names)], "side string, name string")
 
 
 @query("init_empty_state", "SELECT ''::VARCHAR AS key, ''::VARCHAR AS market_rule, 0::BIGINT AS n_candles, 0::DOUBLE AS avg_density WHERE false")
@@ -278,6 +313,36 @@ def _first_touch(spark, sf):
     return trade_rows(trades(spark, sf))
 
 
+GRID = config.GRIDS[15]
+WALK15 = BASE.replace("epoch(ts) / 3600)::BIGINT * 3600", "epoch(ts) / 900)::BIGINT * 900")
+
+
+def hits(side: str, kind: str, ratios: list[float]) -> str:
+    """The first bar of an entry's window that reaches each barrier, from running extremes: entries x bars, then entries x ratios."""
+    up = (side == "buy") == (kind == "tp")
+    extreme, reached = ("max(c.high)", ">=") if up else ("min(c.low)", "<=")
+    return f"""run_{side}_{kind} AS MATERIALIZED (SELECT e.instrument, e.bar_idx, e.close, c.bar_idx - e.bar_idx AS k, {extreme} OVER (PARTITION BY e.instrument, e.bar_idx ORDER BY c.bar_idx) AS x
+  FROM entries e JOIN candles c ON c.instrument = e.instrument AND c.bar_idx BETWEEN e.bar_idx + 1 AND e.bar_idx + {GRID.bars}),
+{side}_{kind} AS MATERIALIZED (SELECT instrument, bar_idx, '{side}' AS trade_type, ratio, min(k) AS k FROM run_{side}_{kind} CROSS JOIN (SELECT unnest({ratios})::DOUBLE AS ratio)
+  WHERE x {reached} close * (1 {'+' if up else '-'} ratio) GROUP BY ALL)"""
+
+
+PRESET = f"""{WALK15}, ends AS (SELECT instrument, max(bar_idx) AS last FROM candles GROUP BY 1), entries AS MATERIALIZED (SELECT g.* FROM candles g JOIN ends USING (instrument) WHERE bar_idx <= last - {GRID.bars}),
+{', '.join(hits(side, kind, GRID.ratios(bounds)) for side in ('buy', 'sell') for kind, bounds in (('sl', GRID.stops), ('tp', GRID.takes)))},
+stops AS (FROM buy_sl UNION ALL FROM sell_sl), takes AS (FROM buy_tp UNION ALL FROM sell_tp),
+counted AS (SELECT coalesce(s.instrument, t.instrument) AS instrument, coalesce(s.trade_type, t.trade_type) AS trade_type, s.ratio AS sl_ratio, t.ratio AS tp_ratio, s.k AS sk, t.k AS tk
+  FROM (SELECT e.instrument, e.bar_idx, trade_type, ratio, k FROM entries e CROSS JOIN (SELECT unnest(['buy', 'sell']) AS trade_type) CROSS JOIN (SELECT unnest({GRID.ratios(GRID.stops)})::DOUBLE AS ratio) LEFT JOIN stops USING (instrument, bar_idx, trade_type, ratio)) s
+  JOIN (SELECT e.instrument, e.bar_idx, trade_type, ratio, k FROM entries e CROSS JOIN (SELECT unnest(['buy', 'sell']) AS trade_type) CROSS JOIN (SELECT unnest({GRID.ratios(GRID.takes)})::DOUBLE AS ratio) LEFT JOIN takes USING (instrument, bar_idx, trade_type, ratio)) t
+  USING (instrument, bar_idx, trade_type) WHERE s.k IS NOT NULL OR t.k IS NOT NULL)"""
+
+
+@query("first_touch_15m", sql("SELECT instrument, trade_type, sl_ratio, tp_ratio, count(*) AS trades, count(*) FILTER (WHERE tk IS NOT NULL AND (sk IS NULL OR tk < sk)) AS wins, sum(CASE WHEN tk IS NOT NULL AND (sk IS NULL OR tk < sk) THEN tk ELSE sk END)::BIGINT AS bars FROM counted GROUP BY ALL", PRESET))
+def _first_touch_preset(spark, sf):
+    """All trades of the 15-minute preset, 24 x 49 ratios both ways over 400 bars, counted by pair of ratios."""
+    found = S.first_touch(K.event_candles(spark, sf, 15), GRID.ratios(GRID.stops), GRID.ratios(GRID.takes), GRID.bars)
+    return found.groupBy("instrument", "trade_type", "sl_ratio", "tp_ratio").agg(F.count("*").alias("trades"), F.count_if(C("outcome") == "win").alias("wins"), F.sum(C("exit_idx") - C("entry_idx")).cast("long").alias("bars"))
+
+
 @query("spread_in_tp", sql(f"SELECT {TRADE_COLUMNS} FROM trades", TRADES.replace("c.high >= e.close * (1 + tp_ratio)", "c.high >= e.close * (1 + tp_ratio) + 0.15").replace("c.low <= e.close * (1 - tp_ratio)", "c.low <= e.close * (1 - tp_ratio) - 0.15")))
 def _spread(spark, sf):
     return trade_rows(S.first_touch(candles(spark, sf), STOPS, TAKES, BARS, spread=0.15))
@@ -800,11 +865,13 @@ bounds AS (SELECT id, regexp_extract(c, '`([^`]+)`', 1) AS f, regexp_extract(c,
 tight AS (SELECT id, f, s, CASE WHEN s = '<=' THEN min(v) ELSE max(v) END AS v FROM bounds GROUP BY id, f, s)""".replace("{0}", ", ".join(f"'{x}'" for x in RAW_RULES))
 
 
-@query("rule_simplify", f"WITH {RULE_PARTS} SELECT any_value(rule) AS raw, count(v) AS bounds, round(coalesce(sum(v), 0), 6) AS total FROM src LEFT JOIN tight ON tight.id = src.id GROUP BY src.id")
+@query("rule_simplify", f"WITH {RULE_PARTS} SELECT any_value(rule) AS raw, coalesce(string_agg('`' || f || '` ' || s || ' ' || printf('%.6f', v), ' and ' ORDER BY f, s), '') AS market_rule FROM src LEFT JOIN tight ON tight.id = src.id GROUP BY src.id")
 def _simplify(spark, sf):
     rules = spark.createDataFrame([(x, x) for x in RAW_RULES], "raw string, market_rule string")
-    bounds = F.expr(r"regexp_extract_all(market_rule, '(?:<=|>) (-?[0-9.]+(?:[eE][-+]?[0-9]+)?)', 1)")
-    return R.simplified(rules).select("raw", F.size(bounds).cast("long").alias("bounds"), r(F.aggregate(F.transform(bounds, lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    bound = lambda part: F.substring_index(part, " ", -1)
+    told = lambda part: F.concat(F.substring(part, F.lit(1), F.length(part) - F.length(bound(part))), F.format_string("%.6f", bound(part).cast("double")))
+    parts = F.filter(F.split("market_rule", " and "), lambda part: part != "")
+    return R.simplified(rules).select("raw", F.array_join(F.transform(parts, told), " and ").alias("market_rule"))
 
 
 @query("strategy_upsert", f"WITH {STATE} SELECT key, market_rule, max(n) AS n_candles FROM (SELECT key, market_rule, 1::BIGINT AS n FROM bad UNION ALL SELECT key, 'r0', 2::BIGINT FROM done) GROUP BY ALL")
@@ -843,13 +910,16 @@ FEATURES = ["sl_ratio", "tp_ratio", "is_buy", "adx", "volume"]
 def _boost(spark, sf):
     rows = M.time_split(matrix(spark, sf)).repartition(8, "instrument", "entry_time").cache()
     model = M.boost(rows, FEATURES, rounds=3, depth=3)
+    rows.unpersist()
     return M.metrics(M.predict(model, rows.where("validation"), FEATURES))
 
 
 @query("importance")
 def _importance(spark, sf):
     rows = M.time_split(matrix(spark, sf)).repartition(8, "instrument", "entry_time").cache()
-    return M.importances(M.boost(rows, FEATURES, rounds=2, depth=3), FEATURES, spark)
+    model = M.boost(rows, FEATURES, rounds=2, depth=3)
+    rows.unpersist()
+    return M.importances(model, FEATURES, spark)
 
 
 SCORED = "s AS (SELECT (quality)::BIGINT AS target, ((doc_id * 37) % 101) / 101.0::DOUBLE + quality * 0.2 AS score FROM labels)"

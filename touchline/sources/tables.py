@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +36,44 @@ def pending_inputs(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return inputs.join(done, key, "left_anti")
 
 
+def prepared(inputs: DataFrame, done: DataFrame, key: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``done`` and, for the inputs that it lacks, what ``make`` makes of them."""
+    return done.unionByName(make(pending_inputs(inputs, done.select(key).distinct(), key)))
+
+
+def mark_processed(keys: DataFrame, path: str) -> None:
+    """Adds keys to the log of what was processed; a batch that is run again after a failure may add some twice."""
+    keys.select("key").write.mode("append").parquet(path)
+
+
+def processed(spark: SparkSession, path: str) -> DataFrame:
+    """The keys in the log, each once; none where there is no log yet."""
+    try:
+        return spark.read.parquet(path).select("key").distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty_state(spark, "processed")
+
+
+def natural(name: str) -> list[tuple[int, int, str]]:
+    """Sort key of a name: runs of digits as numbers."""
+    return [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.findall(r"\d+|\D+", name)]
+
+
+def selected(names: list[str], answer: str) -> list[str]:
+    """The names, in natural order, that an answer tells: ``all``, or their numbers (from 1) or themselves, between commas."""
+    ordered, out = sorted(names, key=natural), []
+    if answer.strip().lower() in ("", "a", "all"):
+        return ordered
+    for word in (w.strip() for w in answer.split(",")):
+        found = word if word in ordered else ordered[int(word) - 1] if word.isdigit() and 0 < int(word) <= len(ordered) else None
+        if found is None:
+            raise ValueError(f"no such choice: {word}")
+        out += [found] * (found not in out)
+    return out
+
+
 def headings(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)], "position int, name string, type string")
 
