@@ -186,13 +186,14 @@ def test_selection():
 
 def test_all_layers_in_order(spark, tmp_path):
     """One run of each tail over small candles: every layer is written and read again, and trades agree from end to end."""
-    c = K.event_candles(spark, "/root/testdata/sf0.01", 60)
-    run = layout.Pipeline(spark, layout.Layout(str(tmp_path)), [0.0005, 0.002], [0.001, 0.004], 24)
-    got = run.run(c, least=20)
+    c = K.event_candles(spark, "/root/testdata/sf0.01", 60).where("instrument = 'click'")
+    got = layout.Pipeline(spark, layout.Layout(f"{tmp_path}/dt"), [0.0005], [0.001, 0.002], 24).run(c, least=20)
     assert got["trades"].count() > 1000 and got["enriched"].count() <= got["trades"].count()
     assert got["combinations"].where("num_candles < 20").count() == 0 and got["targets"].agg(F.sum("trade_count")).first()[0] > 0
     assert set(got["strategies"].columns) == {"key", "market_rule", "n_candles", "avg_density"}
-    matrix = run.run(c, tail="xgb")["matrix"]
-    assert matrix.where("validation").count() > 0 and matrix.count() == got["enriched"].join(got["gold"].select("instrument", F.col("time").alias("entry_time")), ["instrument", "entry_time"], "left_semi").count()
+    other = layout.Pipeline(spark, layout.Layout(f"{tmp_path}/xgb"), [0.0005], [0.001, 0.002], 24)
+    matrix = other.run(c, tail="xgb")["matrix"]
+    times = got["gold"].select("instrument", F.col("time").alias("entry_time"))
+    assert matrix.where("validation").count() > 0 and matrix.count() == got["enriched"].join(times, ["instrument", "entry_time"], "left_semi").count()
     with pytest.raises(ValueError, match="unknown tail"):
-        run.run(c, tail="x")
+        other.run(c, tail="x")
