@@ -49,8 +49,9 @@ from touchline.llm.common import bounded, checkpointed, read
 LENGTH, GRAM = 400, 64
 #: The same in words, for passages.
 WORDS, WORD_GRAM = 50, 16
-#: Places of one gram that a task takes as they are; short documents in one collection; window starts handled at a time.
-GROUP_ROWS, COLLECTION, CHUNK = 20_000, 20_000, 1 << 19
+#: Places of one gram that a task takes as they are; short documents in one collection; window starts of a text handled at a time,
+#: and elements of all texts.
+GROUP_ROWS, COLLECTION, CHUNK, PART = 20_000, 10_000, 1 << 17, 1 << 18
 #: Neighbouring windows that travel together where a gram is crowded.
 PIECE = 16
 #: Places of one gram that a task sends to where all of that gram meet, before it deals the rest over SALTS - 1 other parts.
@@ -65,7 +66,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def anchors_of(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """For each run of windows with the same anchor: the gram's hash, its position, the first and the last window start.
 
-    ``data``: texts end to end, up to 2**20 bytes (or words); ``ends``: for each position the end of its text. Windows stay inside texts.
+    ``data``: texts end to end, less than 2**20 bytes (or words); ``ends``: for each position the end of its text. Windows stay inside texts.
     """
     none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
     n = len(data) - length + 1
@@ -99,12 +100,14 @@ def anchor_rows(texts: list[bytes], length: int, gram: int, width: int = 1) -> I
 
     ``width``: bytes of an element; lengths and positions count elements.
     """
+    if length > CHUNK:
+        raise ValueError(f"length must be {CHUNK} at most")
     parts: list[tuple[int, int, np.ndarray]] = []
     total = 0
     for k, text in enumerate(texts):
         for s in range(0, max(0, len(text) // width - length + 1), CHUNK):
             piece = np.frombuffer(text, f"<u{width}")[s : s + CHUNK + length - 1]
-            if total + len(piece) > (1 << 20) - 1:
+            if total + len(piece) > PART:
                 yield from _anchors(parts, length, gram)
                 parts, total = [], 0
             parts.append((k, s, piece))
