@@ -45,7 +45,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixing", mixing), ("packing", packing)]
-#: No stage but the last two could be told in SQL, so that the whole is tested against a brute-force version.
+#: No stage but the last two could be told in SQL. tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
