@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import read
+from touchline.llm.common import read, tidy
 
 #: Markers of this template, then control strings of common chat templates that texts may hold.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -152,7 +152,7 @@ def formatted(rows: DataFrame, path: str, pattern: str, learn: str = "assistant"
             yield out()
 
     sorted_rows = rows.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return sorted_rows.mapInArrow(run, f"conv_id {kind}, ids array<int>, loss_mask array<tinyint>, text string")
+    return sorted_rows.mapInArrow(tidy(run), f"conv_id {kind}, ids array<int>, loss_mask array<tinyint>, text string")
 
 
 def digests(conversations: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -172,7 +172,7 @@ def digests(conversations: DataFrame, path: str, pattern: str) -> DataFrame:
             types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_ids", "loss_ids", "string_agrees"])
 
-    return conversations.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_ids long, loss_ids long, string_agrees boolean")
+    return conversations.mapInArrow(tidy(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_ids long, loss_ids long, string_agrees boolean")
 
 
 def default_vocabulary() -> tuple[str, str]:

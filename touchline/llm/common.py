@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Training-data scans cut batches into blocks of about so many bytes of text, which bounds a worker's NumPy arrays.
 BLOCK_BYTES = 1 << 18
+#: Rows that go from the JVM to a Python worker at a time.
+BATCH_ROWS = 2000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +47,27 @@ def bounded(df: DataFrame, values: int = 4_000_000, weight: Column | None = None
     return F.broadcast(df) if (total or 0) <= values else df
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which gives its memory back to the machine when a task ends: a Python worker outlives its tasks and their stage.
+
+    A session that has Spark's own batch size gets a smaller one: batches of whole texts are held by both the JVM and the worker.
+    """
+    conf = SparkSession.active().conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings; null becomes the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import cells, checkpointed, read, whole_cells
+from touchline.llm.common import cells, checkpointed, read, tidy, whole_cells
 
 BITS, CONTEXT, SEED = 512, 4, 42
 #: Steps whose random bits repeat, as a period far above any stretch that two texts walk side by side by chance.
@@ -179,7 +179,7 @@ def fingerprinted(docs: DataFrame, bits: int = BITS, context: int = CONTEXT, see
                 yield got
 
     dealt = rows.repartition("part").sortWithinPartitions("part", "over", "doc_id", "text")
-    return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(tidy(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def near_pairs(marks: DataFrame, bands: int = 32, least: float = 0.8, bits: int = BITS, cell_rows: int = 2048) -> DataFrame:
@@ -218,7 +218,7 @@ def near_pairs(marks: DataFrame, bands: int = 32, least: float = 0.8, bits: int
                     if pairs:
                         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs]), pa.array(1 - 2 * differ[i, j][ok] / bits)], ["a", "b", "likeness"])
 
-    return cells(keyed, ["band", "key"], "mark", cell_rows).mapInArrow(run, "a string, b string, likeness double")
+    return cells(keyed, ["band", "key"], "mark", cell_rows).mapInArrow(tidy(run), "a string, b string, likeness double")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import blocks, letters, read, texts_of
+from touchline.llm.common import blocks, letters, read, texts_of, tidy
 
 BITS = 14
 #: Mean TF-IDF values are small; all are multiplied by this before the regression.
@@ -75,7 +75,7 @@ def document_counts(docs: DataFrame, text: str = "text", lang: str = "lang") ->
 
     out, by = np.zeros((1 << BITS) + 1, np.int64), {}
     # As many rows as there are features and languages.
-    for k, feature, n in docs.select(text, F.col(lang).cast("string")).mapInArrow(run, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n")).collect():
+    for k, feature, n in docs.select(text, F.col(lang).cast("string")).mapInArrow(tidy(run), "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n")).collect():
         if feature < 0:
             by[k] = n
         else:
@@ -195,7 +195,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", made: tup
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(f.name for f in kept), *made])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"{made[0]} string", f"{made[1]} double"])
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text)).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text)).mapInArrow(tidy(run), schema)
 
 
 def remainder(key: str, mod: int) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import checkpointed, read
+from touchline.llm.common import checkpointed, read, tidy
 
 WINDOW, GRID, RANGES = 4096, 16, 512
 #: A worker forgets its words beyond so many: memory stays bounded, results do not change.
@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(where, pa.int64())), *(pa.array(c, t) for c, t in zip(rows[1:], types, strict=True))], names)
 
     schema = f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(tidy(run), schema)
 
 
 def combinations(classes: int, present: np.ndarray) -> list[tuple[int, ...]]:

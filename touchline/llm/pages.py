@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import bounded, checkpointed, read
+from touchline.llm.common import bounded, checkpointed, read, tidy
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|aria-label|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -295,7 +295,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int32()] + [pa.int64()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["site", "kind", "node", "path", "value", "page"])
 
-    seen = pages.select("site", "html").mapInArrow(run, "site string, kind int, node long, path long, value long, page long").distinct()
+    seen = pages.select("site", "html").mapInArrow(tidy(run), "site string, kind int, node long, path long, value long, page long").distinct()
     return seen.groupBy("site", "kind", "node", "path", "value").agg(F.count("*").alias("shown"))
 
 
@@ -338,7 +338,7 @@ def extracted(pages: DataFrame, broadcast_blocks: int = BROADCAST_BLOCKS) -> Dat
             for batch in batches:
                 yield written(batch, [main_text(page, site, often, seldom) for page, site in zip(batch.column("html").to_pylist(), batch.column("site").to_pylist(), strict=True)])
 
-        return sited.mapInArrow(run, schema)
+        return sited.mapInArrow(tidy(run), schema)
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,9 +351,9 @@ def extracted(pages: DataFrame, broadcast_blocks: int = BROADCAST_BLOCKS) -> Dat
             yield written(batch, [main_text(page, site, set(a or ()), set(b or ())) for page, site, a, b in zip(*columns, strict=True)])
 
     told = sited.withColumn("same", F.sha2(F.concat_ws("\n", "site", "html"), 256))
-    held = told.select("html", "site", "same").mapInArrow(shown, "same string, content long").distinct().join(found, "content")
+    held = told.select("html", "site", "same").mapInArrow(tidy(shown), "same string, content long").distinct().join(found, "content")
     sets = held.groupBy("same").agg(F.collect_list(F.when(F.col("most"), F.col("content"))).alias("often"), F.collect_list(F.when(~F.col("most"), F.col("content"))).alias("seldom"))
-    return told.join(sets, "same", "left").select("page_id", "url", "html", "site", "often", "seldom").mapInArrow(joined, schema)
+    return told.join(sets, "same", "left").select("page_id", "url", "html", "site", "often", "seldom").mapInArrow(tidy(joined), schema)
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:

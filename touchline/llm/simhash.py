@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import cells, checkpointed, components, read, union, whole_cells
+from touchline.llm.common import cells, checkpointed, components, read, tidy, union, whole_cells
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Fingerprints of one cell of a key, and pairs compared at a time.
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, seed: int
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(values)], [*(f.name for f in kept), "simhash"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "simhash long"])
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text)).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text)).mapInArrow(tidy(run), schema)
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -153,7 +153,7 @@ def links(distinct: DataFrame, radius: int = 4, cell_rows: int = CELL_ROWS) -> D
 
     kinds = [*((f"{x}_named", distinct.schema["first"].dataType.simpleString()) for x in "uv" for _ in more), *((f"{x}_simhash", "long") for x in "uv")]
     schema = ", ".join(f"{n} {k}" for n, k in sorted(kinds, key=lambda c: (c[0][0], "simhash" in c[0])))
-    found = cells(keyed, ["mask", "key"], "simhash", cell_rows, ("named",) * len(more)).mapInArrow(run, schema)
+    found = cells(keyed, ["mask", "key"], "simhash", cell_rows, ("named",) * len(more)).mapInArrow(tidy(run), schema)
     end = lambda x: F.struct(F.col(f"{x}_named").alias("first"), F.col(f"{x}_simhash").alias("simhash")) if more else F.col(f"{x}_simhash")
     return found.select(end("u").alias("u"), end("v").alias("v"))
 

@@ -37,6 +37,7 @@ import os
 import re
 import tempfile
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from touchline.llm.common import bounded, checkpointed, read
+from touchline.llm.common import bounded, checkpointed, read, tidy
 
 LENGTH, GRAM = 400, 64
 #: The same in words, for passages.
@@ -381,7 +382,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows:
                 salt = pa.array(salter.salts(h, keys, k, first), pa.int32())
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(k)), *(pa.array(x, pa.int64()) for x in (h, at, first, last)), salt], ["key", "gram", "at", "first", "last", "salt"])
 
-    places = rows.select("__key", "__raw").mapInArrow(find, "key binary, gram long, at long, first long, last long, salt int")
+    places = rows.select("__key", "__raw").mapInArrow(tidy(find), "key binary, gram long, at long, first long, last long, salt int")
     # One shuffle serves both the removal of copies' places and the count. A copy's place may stay once with a salt and once
     # without: its text has copies, so that it goes as a whole anyway.
     places = places.repartition("gram", "salt").dropDuplicates(["gram", "salt", "key", "first"])
@@ -425,7 +426,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows:
     def segments(some: DataFrame) -> DataFrame:
         wanted = some.groupBy("key").agg(F.collect_list(F.struct("gram", "at", "first", "last", "n")).alias("places"))
         texts = rows.join(bounded(some.select(F.col("key").alias("__key")).distinct()), "__key", "left_semi").groupBy(F.col("__key").alias("key")).agg(F.first("__raw").alias("raw"))
-        return texts.join(wanted, "key").mapInArrow(cut, "gram long, sub binary, key binary, at long, first long, segment binary")
+        return texts.join(wanted, "key").mapInArrow(tidy(cut), "gram long, sub binary, key binary, at long, first long, segment binary")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Collections of whole grams, in order of gram."""
@@ -465,7 +466,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows:
             yield out(pa.Table.from_batches(held))
 
     solved = segments(places.where(F.col("n") <= group_rows)).drop("sub").repartition("gram").sortWithinPartitions("gram")
-    found = solved.mapInArrow(solve, "key binary, start long, stop long")
+    found = solved.mapInArrow(tidy(solve), "key binary, start long, stop long")
     found = found.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     if crowds:
         # Pieces are counted by content before the shuffle; distinct ones alone are taken apart into windows.
@@ -504,7 +505,7 @@ def repeated_spans(docs: DataFrame, text: str, length: int, gram: int, group_row
             out = [[{"start": a, "stop": b} for a, b in spans(runs, length)] for runs in batch.column("runs").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, kind)], ["__key", "spans"])
 
-    return every.mapInArrow(merged, "__key binary, spans array<struct<start: long, stop: long>>")
+    return every.mapInArrow(tidy(merged), "__key binary, spans array<struct<start: long, stop: long>>")
 
 
 def spans(runs: list, length: int) -> list[tuple[int, int]]:
@@ -594,7 +595,10 @@ def without_words(text: str, spans_: list[tuple[int, int]]) -> str:
 
 @F.arrow_udf(StringType())
 def kept_words(text: pa.Array, spans_: pa.Array) -> pa.Array:
-    return pa.array([without_words(t.as_py(), [(s["start"], s["stop"]) for s in found.as_py()]) for t, found in zip(text, spans_, strict=True)], pa.string())
+    rows = zip(text, spans_, strict=True)
+    kept = (without_words(t.as_py(), [(s["start"], s["stop"]) for s in found.as_py()]) for t, found in rows)
+    parts = iter(lambda: pa.array(list(islice(kept, SLICE)), pa.string()), pa.array([], pa.string()))
+    return pa.concat_arrays([pa.array([], pa.string()), *parts])
 
 
 def without_repeats(docs: DataFrame, length: int = WORDS) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import blocks, bounded, read, texts_of
+from touchline.llm.common import blocks, bounded, read, texts_of, tidy
 from touchline.llm.langid import remainder
 
 TOKEN = re.compile(r"\w+")
@@ -64,7 +64,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return docs.select("text", "label").mapInArrow(run, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return docs.select("text", "label").mapInArrow(tidy(run), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def telling_words(counts: DataFrame, toxic: int, clean: int, least: float = 3.0) -> list[tuple[str, float, float]]:
@@ -253,7 +253,7 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *columns], [*(f.name for f in kept), "score", "predicted", "spans"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double, predicted int, spans array<struct<start: long, stop: long>>"])
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept), "text").mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{f.name}`") for f in kept), "text").mapInArrow(tidy(run), schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import checkpointed, components, read, union
+from touchline.llm.common import checkpointed, components, read, tidy, union
 
 CELL_ROWS, MOST_PIVOTS = 8192, 65_536
 #: Vectors of a block, and numbers of a block of products with pivots.
@@ -101,7 +101,7 @@ def cells(distinct: DataFrame, least: float, cell_rows: int) -> tuple[DataFrame,
                         sent[r] = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([*batch.columns, batch.column("vector").value_lengths(), pa.array(home), pa.array(sent, pa.list_(pa.int32()))], [*batch.schema.names, "size", "home", "sent"])
 
-    dealt = distinct.mapInArrow(near, "node long, copies long, vector array<double>, size int, home int, sent array<int>")
+    dealt = distinct.mapInArrow(tidy(near), "node long, copies long, vector array<double>, size int, home int, sent array<int>")
     sizes = dealt.groupBy("size", "home").agg(F.count("*").alias("n")).collect()  # at most a row for each pivot and dimension
     base, table, middles = 0, [], {}
     for size, pivot, n in sorted(sizes):
@@ -202,7 +202,7 @@ def joined(dealt: DataFrame, middles: dict[int, np.ndarray], least: float) -> Da
 
     # Dimensions never share a cell, since cells are numbered by dimension and pivot.
     ordered = dealt.repartition("cell").sortWithinPartitions("cell", F.desc("own"))
-    return ordered.mapInArrow(run, "node long, links long, root long")
+    return ordered.mapInArrow(tidy(run), "node long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, cell_rows: int = CELL_ROWS) -> DataFrame:
