@@ -49,11 +49,22 @@ STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the file system that its path names."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between goes to the session's shared checkpoint folder."""
+    """All stages over ``documents``; what lies between goes to the session's shared checkpoint folder.
+
+    A stage's rows stay until the next stage's are written, so that a lost executor can read them again; the last one's stay.
+    """
     base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
+        if k:
+            remove(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
