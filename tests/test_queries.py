@@ -38,6 +38,21 @@ def test_same_as_sql(spark, duck, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(ORACLE_SQL[name]).df())
 
 
+def test_duplicate_times_between_seconds(spark, tmp_path):
+    """Duplicates of times with fractions: below, at and over a half, on either side of 1970, null, and two times of one second."""
+    times = ["2024-01-01 00:00:00", "2024-01-01 00:00:00.499999", "2024-01-01 00:00:00.5", "2024-01-01 00:00:01.5", "2024-01-01 00:00:01.500001", "2024-01-01 00:00:02.999999"]
+    times += ["1969-12-31 23:59:58.5", "1969-12-31 23:59:57.5", "1969-12-31 23:59:59.25", "1900-03-01 12:00:00.75", "9999-12-31 23:59:59.999999"]
+    rows_ = [(kind, t) for t in [*times, None] for kind, n in (("a", 2), (None, 3), ("once", 1)) for _ in range(n)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE held (event_type VARCHAR, ts TIMESTAMP)")
+    con.executemany("INSERT INTO held VALUES (?, CAST(? AS TIMESTAMP))", rows_)
+    con.execute(f"COPY held TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    want, got = con.execute(ORACLE_SQL["duplicate_times"]).fetchall(), QUERIES["duplicate_times"](spark, str(tmp_path))
+    assert got.columns == ["instrument", "t", "n"]
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want) and len(want) == 2 * len(times) + 2
+
+
 def test_entry_without_the_corpus_operators():
     import __spark_entry__ as e
 

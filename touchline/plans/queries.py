@@ -170,7 +170,8 @@ def _sort_time(spark, sf):
 
 @query("duplicate_times", "SELECT event_type AS instrument, epoch(ts)::BIGINT AS t, count(*) AS n FROM events GROUP BY event_type, ts HAVING count(*) > 1")
 def _duplicate_times(spark, sf):
-    return out(K.duplicate_times(read(spark, sf, "events").select(C("event_type").alias("instrument"), C("ts").alias("time"))), "n")
+    found = K.duplicate_times(read(spark, sf, "events").select(C("event_type").alias("instrument"), C("ts").alias("time")))
+    return found.select("instrument", K.nearest_seconds("time").alias("t"), "n")
 
 
 @query("scan_parquet", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(l_extendedprice, 2) AS price FROM lineitem WHERE l_quantity > 45")

@@ -18,6 +18,11 @@ def seconds(time: str) -> Column:
     return F.expr(f"timestampdiff(SECOND, {EPOCH}, {time})")
 
 
+def nearest_seconds(time: str) -> Column:
+    """The whole seconds since 1970 nearest to a timestamp without zone, the even ones at a half."""
+    return F.expr(f"CAST(rint(timestampdiff(MICROSECOND, {EPOCH}, {time}) / 1e6D) AS BIGINT)")
+
+
 def sniff_separator(line: str) -> str:
     """The separator of a headerless price file: the candidate that splits its first line into most columns."""
     return max(",;\t|", key=line.count) if any(c in line for c in ",;\t|") else " "
